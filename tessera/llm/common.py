@@ -9,6 +9,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Keys joined by broadcast in join_skewed(): the broadcast side never has more rows than this.
 HOT_KEYS = 1000
 
@@ -54,6 +56,12 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, weight: str, cols:
     return out.select(*left.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in cols])
 
 
+def arrow(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def utf8(column) -> list[bytes]:
     """An Arrow string column as bytes; null is empty."""
     import pyarrow as pa

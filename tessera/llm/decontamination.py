@@ -20,7 +20,7 @@ from itertools import repeat
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_slices, utf8
+from .common import arrow, cut, in_slices, utf8
 
 WINDOW = 10
 #: Words in one automaton, at most (about 250 bytes a word in a worker).
@@ -211,7 +211,7 @@ def _scan(df: DataFrame, automaton, carry: list[str]) -> DataFrame:
             made = [pa.array(sizes, pa.int64()), pa.array(all_spans, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in at] + made, [*kept, "__n_words", "__spans", "__items"])
 
-    return df.mapInArrow(run, schema)
+    return arrow(df, run, schema)
 
 
 def _scanned(df: DataFrame, benchmark: DataFrame, carry: list[str], item_col: str, item_text_col: str, window: int, block_words: int) -> DataFrame:
@@ -293,4 +293,4 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", l
                 arrays[at] = pa.array([len(fresh[k]) if k in fresh else n for k, n in enumerate(old)], arrays[at].type)
             yield pa.RecordBatch.from_arrays(arrays, columns).filter(pa.array(keep)) if not pc.all(pa.array(keep)).as_py() else pa.RecordBatch.from_arrays(arrays, columns)
 
-    return found.mapInArrow(run, schema).toDF(*names)
+    return arrow(found, run, schema).toDF(*names)

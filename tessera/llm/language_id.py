@@ -1 +1,209 @@
+"""Language identification by partial matching (PPM).
 
+For each language a tree of byte contexts, of order 0 to ORDER, with frozen counts. A byte's code length follows method
+C: at the longest context that the language knows, a byte seen there c times of n costs -log2(c / (n + q)), q being the
+number of different bytes seen there; a byte not seen there costs the escape -log2(q / (n + q)) and goes on to the
+context one byte shorter, and below order 0 every byte costs 8 bits. A text's code length is the sum over its bytes, and
+the language with the shortest one is predicted.
+
+Contexts don't reach back over white space: a word is coded after one space and with one space at its end. So a word's
+code length in every language is a constant of the frozen model, and each worker computes it once, with array
+operations over all new words of a batch, then only looks it up.
+
+Statistics come from a bounded sample of the labelled rows: ``sample`` documents of each language, picked by a hash of
+their id. Prediction reads every row and whole texts.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import arrow, in_slices, utf8
+
+ORDER = 4
+#: Documents of a language, at most, and the longest that is picked, in bytes; at most so many languages, the largest.
+SAMPLE, LONGEST_SAMPLE, MOST_LANGUAGES = 500, 20_000, 200
+#: Words that a worker remembers, and their bytes, at most.
+MOST_WORDS, MOST_BYTES = 500_000, 16_000_000
+
+UNKNOWN = "und"
+
+
+@dataclass
+class Model:
+    """Tables by order: sorted keys of contexts and of context + byte, with a row of code lengths by language each."""
+
+    languages: list[str]
+    contexts: list = field(default_factory=list)
+    symbols: list = field(default_factory=list)
+
+
+def _grams(words: list[bytes], order: int):
+    """For each coded byte of the words, per order k: is there a context of k bytes, the context's key, the key with the byte."""
+    import numpy as np
+
+    lengths = np.array([len(w) + 2 for w in words], np.int64)
+    flat = np.frombuffer(b"".join(b" " + w + b" " for w in words), np.uint8).astype(np.uint64)
+    starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    place = np.arange(len(flat)) - starts
+    coded = np.flatnonzero(place > 0)
+    out = []
+    for k in range(order + 1):
+        at = coded[place[coded] >= k]
+        context = np.zeros(len(at), np.uint64)
+        for j in range(k, 0, -1):
+            context = (context << np.uint64(8)) | flat[at - j]
+        out.append((np.searchsorted(coded, at), context, (context << np.uint64(8)) | flat[at]))
+    return coded, np.repeat(np.arange(len(words)), lengths)[coded], out
+
+
+def build(counts: dict[str, dict[bytes, int]], order: int = ORDER) -> Model:
+    """A model from each language's word counts."""
+    import numpy as np
+
+    languages = sorted(counts)
+    model = Model(languages)
+    per = {}
+    for language in languages:
+        words = sorted(counts[language])
+        weight = np.array([counts[language][w] for w in words], np.float64)
+        _, owner, grams = _grams(words, order) if words else (None, np.array([], int), [])
+        for k, (at, _, symbol) in enumerate(grams):
+            keys, inverse = np.unique(symbol, return_inverse=True)
+            per[language, k] = keys, np.bincount(inverse, weight[owner[at]], len(keys))
+    for k in range(order + 1):
+        own = [per.get((x, k), (np.array([], np.uint64), np.array([]))) for x in languages]
+        symbols = np.unique(np.concatenate([x[0] for x in own] or [np.array([], np.uint64)]))
+        contexts = np.unique(symbols >> np.uint64(8))
+        cost = np.full((len(symbols), len(languages)), np.inf, np.float32)
+        escape = np.zeros((len(contexts), len(languages)), np.float32)
+        for x, (keys, n) in enumerate(own):
+            if not len(keys):
+                continue
+            parent = np.searchsorted(contexts, keys >> np.uint64(8))
+            total, different = np.bincount(parent, n, len(contexts)), np.bincount(parent, minlength=len(contexts))
+            known = total > 0
+            escape[known, x] = -np.log2(different[known] / (total + different)[known])
+            cost[np.searchsorted(symbols, keys), x] = -np.log2(n / (total + different)[parent])
+        model.contexts.append((contexts, escape))
+        model.symbols.append((symbols, cost))
+    return model
+
+
+def _rows(table, keys):
+    """Row numbers of the keys in a sorted table, and which of them are there."""
+    import numpy as np
+
+    at = np.minimum(np.searchsorted(table, keys), max(0, len(table) - 1))
+    return at, table[at] == keys if len(table) else np.zeros(len(keys), bool)
+
+
+def code_lengths(model: Model, words: list[bytes]):
+    """Bits that each word, with the space after it, takes in each language: an array, words x languages."""
+    import numpy as np
+
+    if not words:
+        return np.zeros((0, len(model.languages)))
+    order = len(model.contexts) - 1
+    coded, owner, grams = _grams(words, order)
+    bits = np.zeros((len(coded), len(model.languages)), np.float64)
+    open_ = np.ones(bits.shape, bool)
+    for k in range(order, -1, -1):
+        at, context, symbol = grams[k]
+        for keys, (table, values), ends in ((symbol, model.symbols[k], True), (context, model.contexts[k], False)):
+            row, there = _rows(table, keys)
+            spot, found = at[there], values[row[there]]
+            if ends:
+                hit = open_[spot] & np.isfinite(found)
+                bits[spot] += np.where(hit, found, 0)
+                open_[spot] &= ~hit
+            else:
+                bits[spot] += np.where(open_[spot], found, 0)
+    bits += 8.0 * open_
+    out = np.zeros((len(words), len(model.languages)))
+    np.add.at(out, owner, bits)
+    return out
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
+    """A model of the rows with a language. The driver gets the word counts of the sample only."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"))
+    rows = rows.filter(F.col("_lang").isNotNull() & F.col("_id").isNotNull() & (F.octet_length("_text") <= LONGEST_SAMPLE))
+    largest = [r._lang for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MOST_LANGUAGES).collect()]
+    ranked = rows.filter(F.col("_lang").isin(largest)).select("_id", "_lang").withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")))
+    # At most sample x MOST_LANGUAGES ids: a broadcast of proven size.
+    picked = ranked.filter(F.col("_rank") <= sample).select(F.col("_id").alias("_pick"), F.col("_lang").alias("_pick_lang")).distinct()
+    chosen = rows.join(F.broadcast(picked), (F.col("_id") == F.col("_pick")) & (F.col("_lang") == F.col("_pick_lang")))
+    words = chosen.select("_lang", F.explode(F.split("_text", r"[\x20\x09-\x0D]+")).alias("_word")).filter("_word <> ''").groupBy("_lang", "_word").count()
+    counts: dict[str, dict[bytes, int]] = {}
+    for r in words.toLocalIterator():
+        counts.setdefault(r["_lang"], {})[r["_word"].encode()] = r["count"]
+    return build(counts)
+
+
+class Predictor:
+    def __init__(self, model: Model):
+        import numpy as np
+
+        self.model, self.number, self.bytes = model, {}, 0
+        self.bits = np.zeros((0, len(model.languages)))
+
+    def learn(self, words: set[bytes]) -> None:
+        """Code lengths of the words that aren't known yet."""
+        import numpy as np
+
+        fresh = [w for w in words if w not in self.number]
+        if len(self.number) + len(fresh) > MOST_WORDS or self.bytes > MOST_BYTES:
+            self.number, self.bytes, self.bits = {}, 0, self.bits[:0]
+            fresh = list(words)
+        if fresh:
+            at = len(self.number)
+            self.number.update(zip(fresh, range(at, at + len(fresh)), strict=True))
+            self.bytes += sum(map(len, fresh))
+            if at + len(fresh) > len(self.bits):
+                self.bits = np.concatenate([self.bits[:at], np.zeros((max(at, 2 * len(fresh)), self.bits.shape[1]))])
+            for k in range(0, len(fresh), 4096):
+                part = fresh[k : k + 4096]
+                self.bits[at + k : at + k + len(part)] = code_lengths(self.model, part)
+
+    def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
+        import numpy as np
+        import regex
+
+        if not self.model.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        letter, out = regex.compile(r"\p{L}"), []
+        split = [t.split() for t in texts]
+        self.learn({w for words in split for w in words})
+        for text, words in zip(texts, split, strict=True):
+            if not letter.search(text.decode()):
+                out.append((UNKNOWN, 0.0))
+                continue
+            bits = self.bits[np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))].sum(axis=0)
+            best = int(bits.argmin())
+            out.append((self.model.languages[best], float(1 / np.exp2(np.minimum(0, bits[best] - bits)).sum())))
+        return out
+
+
+def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of df: ``doc_id, lang_pred, score``; score is the posterior for equally likely languages.
+
+    A null text, or one without letters, is ``und`` with score 0, and so is every text for a model without languages; of
+    languages that tie, the first by name is taken. Rows that repeat are predicted alike; a null id is carried. An empty
+    table gives no rows. Columns other than the two named are not read.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    broadcast = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        predictor = Predictor(broadcast.value)
+        for batch in in_slices(batches):
+            found = predictor.predict(utf8(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+
+    return arrow(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, f"doc_id {kind}, lang_pred string, score double")

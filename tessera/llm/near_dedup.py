@@ -1 +1,237 @@
+"""Near-duplicates by MinHash: one permutation, optimal densification, banded buckets, star-shaped candidates.
 
+1. A document's words make shingles, its shingles a set of 64-bit hashes. Equal sets make a class, and only the class's
+   smallest document goes on: copies never meet as pairs.
+2. One hash permutation splits into bins; a bin's value is its smallest hash. Empty bins borrow from a bin that a fixed
+   random sequence of their own names (optimal densification). Bins make bands, and a band's values a bucket.
+3. A bucket's members are compared with its centres only: three members, drawn by hashes that differ from bucket to
+   bucket. So pairs grow with the members, not with their square, and a member meets other centres in other bands.
+4. Every member's most promising pair is verified on the full sets; what is connected then needs no further pairs;
+   all others are verified. Components follow from the confirmed links by hooking and pointer jumping.
+
+The number of bands follows from the threshold such that a pair at it shares no bucket once in a million.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import arrow, cut, in_slices, join_skewed, utf8
+
+#: A pair at the threshold is in no common bucket with this probability at most; bins a signature has at most.
+MISS, MOST_BINS = 1e-6, 160
+#: Remembered words of a worker.
+MOST_WORDS = 500_000
+
+_ODD = 0x9E3779B97F4A7C15
+_MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)  # fixed values: the multipliers of a public 64-bit finaliser
+
+
+def bands_for(threshold: float) -> tuple[int, int]:
+    """(bands, rows in a band): the most selective bands that keep the miss probability with MOST_BINS bins or fewer."""
+    best = None
+    for rows in range(1, 17):
+        bands = max(1, math.ceil(math.log(MISS) / math.log1p(-(threshold**rows)))) if threshold < 1 else 1
+        if rows * bands <= MOST_BINS:
+            best = bands, rows
+    return best
+
+
+class Hasher:
+    """Shingle sets and signatures of texts."""
+
+    def __init__(self, shingle: int, bands: int = 1, rows: int = 1):
+        import numpy as np
+        import xxhash
+
+        self.np, self.hash = np, xxhash
+        self.shingle, self.bands, self.rows = shingle, bands, rows
+        self.known: dict[bytes, int] = {}
+        bins = bands * rows
+        self.edges = np.array([(b << 64) // bins + (1 if (b << 64) % bins else 0) for b in range(bins)], np.uint64)
+        # Densification: for each bin, the bins that it asks in turn, and at last all of them from a place of its own.
+        draw = np.random.default_rng(20140601)
+        self.ask = np.concatenate([draw.integers(0, bins, (24, bins)), (draw.integers(0, bins, bins) + np.arange(bins)[:, None]) % bins])
+
+    def mixed(self, x):
+        np = self.np
+        for m in _MIX:
+            x = (x ^ (x >> np.uint64(33))) * np.uint64(m)
+        return x ^ (x >> np.uint64(33))
+
+    def chained(self, first: int, arrays):
+        np = self.np
+        acc = np.full(len(arrays[0]), first, np.uint64)
+        for a in arrays:
+            acc = self.mixed(acc * np.uint64(_ODD) + a)
+        return acc
+
+    def shingles(self, text: bytes):
+        """The sorted distinct hashes of its shingles: of ``shingle`` words, or of all if it has fewer; none without words."""
+        np = self.np
+        words = text.lower().split()
+        if not words:
+            return np.array([], np.uint64)
+        known, digest = self.known, self.hash.xxh3_64_intdigest
+        if len(known) > MOST_WORDS:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = digest(w)
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        n = min(self.shingle, len(words))
+        return np.unique(self.chained(n, [h[k : len(h) - n + 1 + k] for k in range(n)]))
+
+    def buckets(self, shingles):
+        """A bucket for each band."""
+        np = self.np
+        at = np.searchsorted(shingles, self.edges)
+        full = at < np.append(at[1:], len(shingles))
+        values = shingles[np.minimum(at, len(shingles) - 1)]
+        if not full.all():
+            empty = np.flatnonzero(~full)
+            source = np.zeros(len(full), np.int64)
+            for asked in self.ask:
+                bins = asked[empty]
+                there = full[bins]
+                source[empty[there]] = bins[there]
+                empty = empty[~there]
+                if not len(empty):
+                    break
+            values = np.where(full, values, values[source])
+        table = values.reshape(self.bands, self.rows)
+        return self.chained(0, [np.arange(self.bands, dtype=np.uint64), *table.T]).view(np.int64)
+
+    def key(self, shingles) -> bytes:
+        return self.hash.xxh3_128_digest(shingles.tobytes())
+
+
+def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float) -> DataFrame:
+    """``doc_id, n_shingles, key`` (128 bits of the set; null if empty), ``buckets`` (empty if no other set can be near)."""
+    kind = df.schema[id_col].dataType.simpleString()
+    bands, rows = bands_for(threshold)
+    # Sets of n and n + 1 shingles are n / (n + 1) similar at best; with fewer only equal sets can link.
+    least = threshold / (1 - threshold) - 1e-9 if threshold < 1 else math.inf
+
+    def run(batches):
+        import pyarrow as pa
+
+        hasher = Hasher(shingle, bands, rows)
+        for batch in in_slices(batches):
+            sizes, keys, buckets = [], [], []
+            for text in utf8(batch.column(1)):
+                own = hasher.shingles(text)
+                sizes.append(len(own))
+                keys.append(hasher.key(own) if len(own) else None)
+                buckets.append(hasher.buckets(own) if len(own) >= least else [])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "buckets"])
+
+    return arrow(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, f"doc_id {kind}, n_shingles long, key binary, buckets array<long>")
+
+
+def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``doc, set``: the full set of each document."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        hasher = Hasher(shingle)
+        for batch in in_slices(batches):
+            sets = [hasher.shingles(text).view(np.int64) for text in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc", "set"])
+
+    return arrow(df.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")), run, f"doc {kind}, set array<long>")
+
+
+def candidate_pairs(reps: DataFrame) -> DataFrame:
+    """``member, centre, shared`` (buckets) from ``rep, buckets``: stars around three centres of each bucket."""
+    members = reps.select("rep", F.explode("buckets").alias("bucket"))
+    first, second = F.xxhash64("bucket", "rep"), F.xxhash64("rep", "bucket", F.lit(1))
+    stars = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("rep", first).alias("c1"), F.min_by("rep", second).alias("c2"), F.max_by("rep", first).alias("c3"))
+    stars = cut(stars.filter("n > 1"))
+    joined = join_skewed(members, stars, "bucket", "n", ["c1", "c2", "c3"], F.col("rep")).filter("c1 is not null")
+    spokes = joined.select("rep", F.explode(F.array_distinct(F.array("c1", "c2", "c3"))).alias("centre")).filter("rep <> centre")
+    return spokes.groupBy(F.col("rep").alias("member"), "centre").agg(F.count("*").alias("shared"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The ``member, centre`` pairs that reach the threshold on their full sets.
+
+    Centres, of which some are in very many pairs, are joined first, while rows are narrow; Spark splits such partitions.
+    """
+    above, below = threshold
+    a = sets.select(F.col("doc").alias("centre"), F.col("set").alias("_cs"))
+    b = sets.select(F.col("doc").alias("member"), F.col("set").alias("_ms"))
+    both = pairs.select("member", "centre").join(a, "centre").join(b, "member")
+    common = F.size(F.array_intersect("_cs", "_ms"))
+    union = F.size("_cs") + F.size("_ms") - common
+    return both.filter(common * below >= union * above).select("member", "centre")
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """``node, component`` (its smallest node) for all nodes of ``a, b`` edges; nothing is gathered in one place."""
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        target = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
+        jumped = cut(hooked.join(target, "label").select("node", "old", F.least("label", "beyond").alias("label")))
+        labels = jumped.select("node", "label")
+        if jumped.filter("label < old").isEmpty():
+            return labels.withColumnRenamed("label", "component")
+
+
+def _merged(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """Components of edges between members of the components found so far."""
+    name = found.select(F.col("node"), F.col("component"))
+    return (
+        edges.join(name.toDF("member", "_ca"), "member", "left")
+        .join(name.toDF("centre", "_cb"), "centre", "left")
+        .select(F.coalesce("_ca", "member").alias("a"), F.coalesce("_cb", "centre").alias("b"), "member", "centre")
+        .filter("a <> b")
+    )
+
+
+def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """One row per row of df: ``doc_id, n_shingles, component_id``, the smallest id that links reach, itself included.
+
+    Two documents are linked if ``100 * |A & B| >= 80 * |A | B|`` (for the threshold 80 of 100) on their full shingle sets.
+    Null, empty and blank texts have no shingles and are linked with nothing; a text of fewer words than a shingle is one
+    shingle. Rows that repeat an id and text count as copies of each other; rows of one id with different texts have a
+    component each. A null id takes its component from its copies and links to nothing else. An empty table gives no
+    rows. Other columns are not read.
+    """
+    sig = cut(signatures(df, id_col, text_col, shingle, threshold[0] / threshold[1]))
+    classes = sig.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = cut(classes)
+    heads = classes.select(F.col("key").alias("_key"), "rep")
+    reps = sig.filter(F.size("buckets") > 0).join(heads, (F.col("key") == F.col("_key")) & (F.col("doc_id") == F.col("rep")), "left_semi").select(F.col("doc_id").alias("rep"), "buckets").dropDuplicates(["rep"])
+    pairs = cut(candidate_pairs(reps))
+    needed = pairs.select(F.explode(F.array("member", "centre")).alias("_need")).distinct()
+    texts = df.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(needed, F.col("_doc") == F.col("_need"), "left_semi")
+    sets = cut(shingle_sets(texts, "_doc", "_text", shingle))
+    best = pairs.groupBy("member").agg(F.max_by("centre", F.struct("shared", F.xxhash64("member", "centre"))).alias("centre"))
+    links = cut(verified(best, sets, threshold))
+    found = connected_components(links.toDF("a", "b"))
+    rest = cut(_merged(pairs.select("member", "centre"), found))
+    more = verified(rest, sets, threshold).join(rest, ["member", "centre"]).select("a", "b")
+    outer = connected_components(more)
+    joined = found.join(outer.toDF("component", "_outer"), "component", "left").select("node", F.coalesce("_outer", "component").alias("component"))
+    alone = outer.join(found, outer["node"] == found["component"], "left_anti")
+    of = joined.unionByName(alone)
+    named = classes.join(of, F.col("rep") == F.col("node"), "left").select("key", "copies", F.coalesce("component", "rep").alias("component_id"))
+    out = join_skewed(sig.select("doc_id", "n_shingles", "key"), named, "key", "copies", ["component_id"], F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The rows of df that stay, one document of each component, all columns; rows without an id stay."""
+    out = components(df, id_col, text_col, shingle, threshold)
+    gone = out.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    return df.join(gone, df[id_col] == F.col("_gone"), "left_anti")

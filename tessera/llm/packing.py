@@ -15,7 +15,8 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, in_slices, utf8
+from ..shipping import ship
+from .common import arrow, cut, in_slices, utf8
 from .pieces import pieces
 
 #: Pieces in a group, on average.
@@ -98,7 +99,7 @@ def cut_into_pieces(df: DataFrame, tokenizer_path: str, end_id: int, window: int
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names + ["ids"] * with_ids)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return arrow(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, schema)
 
 
 def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES, with_ids: bool = False) -> DataFrame:
@@ -120,6 +121,7 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 2048
         return frame
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", sequence long, offset long, sequence_tokens long"
+    ship(df.sparkSession)
     packed = dealt.groupBy("_group").applyInPandas(place, schema)
     # Placing is repeatable: pieces come from files, and ties are in a fixed order. So the two uses below agree.
     sizes = packed.groupBy("_group").agg((F.max("sequence") + 1).alias("_n"))

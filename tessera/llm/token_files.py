@@ -22,7 +22,8 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_slices, utf8
+from ..shipping import ship
+from .common import arrow, in_slices, utf8
 from .pieces import id_width, pieces
 
 #: What stands for a null document id in a .doc file.
@@ -71,7 +72,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
 
     store, path = _at(folder)
     store.create_dir(path, recursive=True)
-    parts = sorted(docs.mapInArrow(write, "part long, name string, docs long, ids long").collect())
+    parts = sorted(arrow(docs, write, "part long, name string, docs long, ids long").collect())
     bases = [0, *accumulate(p.ids for p in parts)]
     manifest = {"width": width, "n_docs": sum(p.docs for p in parts), "n_ids": bases[-1], "parts": [{"name": p.name, "docs": p.docs, "ids": p.ids, "base": b} for p, b in zip(parts, bases[:-1], strict=True)]}
     with store.open_output_stream(f"{path}/manifest.json") as out:
@@ -130,4 +131,5 @@ def read_token_files(spark: SparkSession, folder: str, of: Callable | None = Non
     schema = f"doc_id long, start long, n_tokens long, {columns}"
     out = spark.range(0, len(parts), 1, max(1, len(parts)))
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    ship(spark)
     return out.mapInPandas(read, schema)
