@@ -387,3 +387,157 @@ def tiff_words(spark, sf_dir):
 def jpeg_type(spark, sf_dir):
     sof = F.when(F.col("p_partkey") % 3 == 0, 0xC2).otherwise(0xC0)
     return derived.table(spark, sf_dir, "part").select("p_partkey", G.jpeg_type(sof).alias("jpeg_type"))
+
+
+# ---- encoded images: checked by round trips in the tests, since no table has image bytes
+
+
+def _images(spark, sf_dir):
+    from ..sources.synthetic import synthetic_images
+
+    return synthetic_images(spark, sf_dir)
+
+
+def _frames(spark, sf_dir, output: str = "frames", **options):
+    from .decode import decode
+    from .options import DecodeOptions
+
+    return decode(_images(spark, sf_dir), DecodeOptions(**options), output)
+
+
+def _digested(rows: DataFrame, column: str = "data") -> DataFrame:
+    return rows.withColumn(f"{column}_sha256", F.sha2(column, 256)).drop(column)
+
+
+@query()
+def header_info(spark, sf_dir):
+    info = _frames(spark, sf_dir, "info")
+    return info.select("image_id", "status", "error_code", "width", "height", "bpp", "subsample", "mode", "num_components", "orientation", "has_thumb", "thumb_width", "thumb_height", "thumb_offset", "restart_interval", "scan_offset")
+
+
+@query()
+def image_segments(spark, sf_dir):
+    """Restart intervals without byte stuffing: the parallel units of entropy decoding."""
+    from ..operators.images import segments
+
+    return segments(_images(spark, sf_dir)).select("image_id", "segment_id", "first_mcu", "n_mcus", F.length("data").alias("n_bytes"))
+
+
+@query()
+def entropy_blocks(spark, sf_dir):
+    return _frames(spark, sf_dir, "blocks").select("image_id", "segment_id", "mcu_index", "component", "block_in_mcu", "dc_diff", F.array_join("coefs", ",").alias("coefs"))
+
+
+@query()
+def sample_blocks(spark, sf_dir):
+    return _frames(spark, sf_dir, "samples").select("image_id", "mcu_index", "component", "block_in_mcu", F.array_join("samples", ",").alias("samples"))
+
+
+@query()
+def decode_full(spark, sf_dir):
+    return _digested(_frames(spark, sf_dir))
+
+
+@query()
+def decode_rgba(spark, sf_dir):
+    from .options import PixelType
+
+    return _digested(_frames(spark, sf_dir, pixel_type=PixelType.RGB8888))
+
+
+@query()
+def decode_luma(spark, sf_dir):
+    return _digested(_frames(spark, sf_dir, luma_only=True))
+
+
+@query()
+def decode_half(spark, sf_dir):
+    return _digested(_frames(spark, sf_dir, scale=2))
+
+
+@query()
+def decode_quarter(spark, sf_dir):
+    return _digested(_frames(spark, sf_dir, scale=4))
+
+
+@query()
+def decode_eighth(spark, sf_dir):
+    return _digested(_frames(spark, sf_dir, scale=8))
+
+
+@query()
+def decode_cropped(spark, sf_dir):
+    return _digested(_frames(spark, sf_dir, crop=(8, 8, 20, 20)))
+
+
+@query()
+def decode_progressive_dc(spark, sf_dir):
+    """Progressive images as one-eighth previews of their first scan."""
+    from ..operators.images import decode_frames, image_info
+
+    images = _images(spark, sf_dir)
+    chosen = image_info(images).filter("mode = 'PROGRESSIVE'").select("image_id")
+    return _digested(decode_frames(images.join(chosen, "image_id", "left_semi")))
+
+
+@query()
+def exif_thumbnail(spark, sf_dir):
+    return _digested(_frames(spark, sf_dir, thumbnail=True))
+
+
+@query()
+def decode_tiles(spark, sf_dir):
+    return _digested(_frames(spark, sf_dir, "tiles", dma=True), "pixels")
+
+
+@query()
+def frame_assemble(spark, sf_dir):
+    """Frames put together from tiles, in Column expressions."""
+    from ..operators.images import assemble
+
+    return _digested(assemble(_frames(spark, sf_dir, "tiles", max_mcus=2), 2))
+
+
+@query()
+def bmp_bytes(spark, sf_dir):
+    return _digested(_frames(spark, sf_dir, "bmp"), "bmp")
+
+
+def _dithered(spark, sf_dir, bits: int):
+    from ..operators.images import dither
+
+    pixels = derived.raster(spark, sf_dir).select("image_id", "y", F.struct("x", "lum").alias("p"))
+    rows = pixels.groupBy("image_id", "y").agg(F.map_from_entries(F.collect_list("p")).alias("m"))
+    line = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda x: F.lpad(F.hex(F.coalesce(F.try_element_at("m", x), F.lit(0)).cast("long")), 2, "0"))
+    out = dither(rows.select(F.col("image_id").cast("long").alias("image_id"), "y", F.unhex(F.array_join(line, "")).alias("gray")), bits)
+    return out.select("image_id", "y", F.hex("packed").alias("packed"))
+
+
+@query()
+def dither_1(spark, sf_dir):
+    return _dithered(spark, sf_dir, 1)
+
+
+@query()
+def dither_2(spark, sf_dir):
+    return _dithered(spark, sf_dir, 2)
+
+
+@query()
+def dither_4(spark, sf_dir):
+    return _dithered(spark, sf_dir, 4)
+
+
+@query("""SELECT o_custkey AS file_id, CAST(sum(octet_length(encode(o_orderstatus || CAST(o_orderkey AS VARCHAR)))) AS BIGINT) AS length,
+ CASE WHEN sum(octet_length(encode(o_orderstatus || CAST(o_orderkey AS VARCHAR)))) > 100 THEN 'INVALID_PARAMETER' ELSE 'SUCCESS' END AS status,
+ CASE WHEN sum(octet_length(encode(o_orderstatus || CAST(o_orderkey AS VARCHAR)))) > 100 THEN NULL ELSE string_agg(o_orderstatus || CAST(o_orderkey AS VARCHAR), '' ORDER BY o_orderkey) END AS content
+ FROM orders GROUP BY o_custkey""")
+def upload_reassembly(spark, sf_dir):
+    """Chunks of an upload (here: of a customer's orders) put together at their byte places, if they fit."""
+    from ..sources.files import reassemble
+
+    rows = derived.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.encode(F.concat("o_orderstatus", F.col("o_orderkey").cast("string")), "utf-8").alias("chunk"))
+    before = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = rows.withColumn("byte_index", F.coalesce(F.sum(F.length("chunk")).over(before), F.lit(0)))
+    out = reassemble(chunks.select(F.col("o_custkey").alias("file_id"), "byte_index", "chunk"), 100)
+    return out.withColumn("content", F.decode("content", "utf-8"))
