@@ -105,7 +105,6 @@ def coef_blocks(parts: DataFrame) -> DataFrame:
     return _mapped(parts, row, schema)
 
 
-@F.pandas_udf("array<int>")
 def _transformed(dc: pd.Series, coefs: pd.Series, quant: pd.Series) -> pd.Series:
     """Samples of blocks, by array operations over a batch; blocks of one table are transformed together."""
     import numpy as np
@@ -128,7 +127,7 @@ def sample_blocks(blocks: DataFrame, info: DataFrame) -> DataFrame:
     predicted = predict_dc(blocks, ["image_id", "component", "segment_id"], ["mcu_index", "block_in_mcu"])
     tables = info.filter("error_code = 0").select(F.col("image_id").alias("_image"), F.explode("quant").alias("_table", "_q")).select("_image", "_table", B.prescaled(F.col("_q")).alias("_quant"))
     rows = predicted.join(tables, (F.col("image_id") == F.col("_image")) & (F.col("quant_id") == F.col("_table")))
-    return rows.select("image_id", "mcu_index", "mcu_x", "mcu_y", "component", "block_in_mcu", _transformed("dc", "coefs", "_quant").alias("samples"))
+    return rows.select("image_id", "mcu_index", "mcu_x", "mcu_y", "component", "block_in_mcu", F.pandas_udf(_transformed, "array<int>")("dc", "coefs", "_quant").alias("samples"))
 
 
 def decode_frames(images: DataFrame, options: DecodeOptions | None = None) -> DataFrame:
