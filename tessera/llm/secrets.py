@@ -79,11 +79,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col
     found = found.withColumnRenamed("hash", "_hash")
     owned = ownership(found)
     judged = join_skewed(found, owned, "_hash", "n_rows", ["n_owners"], F.struct("_row", "start"))
-    kept = judged.filter((F.col("kind") < len(KINDS)) | (F.col("n_owners") <= most_owners))
     live = F.col("n_owners") <= most_owners
+    reported = F.when((F.col("kind") < len(KINDS)) | live, F.struct("start", "kind", "end"))
     # A document's findings are bounded by its length, and come back together by the row they are of.
-    per_doc = kept.groupBy("_row").agg(
-        F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("_all"),
+    per_doc = judged.groupBy("_row").agg(
+        F.array_sort(F.collect_list(reported)).alias("_all"),
         F.count_if(live).alias("_live"),
         F.count_if(~live).alias("_example"),
     )
