@@ -2,7 +2,8 @@
 
 A document is a bag of sentences, and only bags have labels. A sentence's log-odds z are a sum of word weights and a
 bias (a word's weight is the sum of those of the word and its stems); it is toxic with probability sigmoid(z), and the document with 1 - prod(1 - sigmoid(z)), a noisy-or, which equals
-1 - exp(-sum softplus(z)); a leak stands for labels that no sentence explains. The weights follow from the documents' labels by gradient descent on that likelihood, and
+1 - exp(-sum softplus(z)); a leak stands for labels that no sentence explains. Only
+sentences with a known feature take part: the rest are certain not to offend, so length alone raises no score. The weights follow from the documents' labels by gradient descent on that likelihood, and
 afterwards tell the offending sentences within a document.
 
 Fitting uses a bounded sample of the labelled rows (``sample`` documents, picked by a hash of their id, so it is the same
@@ -26,6 +27,8 @@ SAMPLE, LONGEST_SAMPLE = 6000, 20_000
 STEMS = (3, 4, 5, 6)
 #: A feature that a model knows is in so many different sampled sentences, and tells their labels by so much chi-square.
 LEAST_SENTENCES, LEAST_CHI, MOST_FEATURES = 4, 25.0, 50_000
+#: ... and the share of label 1 among its sentences lies so far from the overall share to 1.
+LEAST_LIFT = 0.25
 #: Words whose weight a worker remembers.
 MOST_WORDS = 500_000
 
@@ -71,7 +74,7 @@ def features(word: bytes) -> list[bytes]:
 
 
 def telling_features(bags: list[list[list[bytes]]], labels: list[int]) -> list[bytes]:
-    """Features whose sentences lie in documents of one label more than chance has it (chi-square of LEAST_CHI or more).
+    """Features whose sentences lie in documents of label 1 more than chance has it (by chi-square and by share).
 
     Equal sentences count once, so that copies of a document are no evidence of their own.
     """
@@ -93,6 +96,8 @@ def telling_features(bags: list[list[list[bytes]]], labels: list[int]) -> list[b
     rate, found = positive / total, []
     for w, n in seen.items():
         if n >= LEAST_SENTENCES:
+            if hot.get(w, 0) < n * (rate + LEAST_LIFT * (1 - rate)):
+                continue
             chi = (hot.get(w, 0) - n * rate) ** 2 / (n * rate * (1 - rate) * (1 - n / (total + 1)))
             if chi >= LEAST_CHI:
                 found.append((-chi, w))
@@ -119,9 +124,10 @@ def fit(rows: list[tuple[int, bytes]], epochs: int = 60, rate: float = 0.1, deca
     for d, bag in enumerate(bags):
         for s in bag:
             own = [number[f] for w in {*s} for f in features(w) if f in number]
-            word.extend(own)
-            word_at.extend([len(doc_at)] * len(own))
-            doc_at.append(d)
+            if own:
+                word.extend(own)
+                word_at.extend([len(doc_at)] * len(own))
+                doc_at.append(d)
     word, word_at, doc_at = (np.array(x, np.int64) for x in (word, word_at, doc_at))
     first_s = np.searchsorted(doc_at, np.arange(len(rows) + 1))
     first_w = np.searchsorted(word_at, np.arange(len(doc_at) + 1))
@@ -164,10 +170,7 @@ class _WordWeights(dict):
 
 class Scorer:
     def __init__(self, model: Model):
-        from math import exp, log1p
-
         self.weight, self.bias, self.leak = _WordWeights(model.weights), model.bias, model.leak
-        self.plain = log1p(exp(model.bias))
 
     def bag(self, text: bytes) -> tuple[float, bytes, float]:
         """The document's probability, its worst sentence and that one's probability."""
@@ -177,17 +180,18 @@ class Scorer:
         for s in sentences(text):
             if words := words_of(s):
                 told = sum(map(weight.__getitem__, {*words}))
-                z = bias + told
-                total += self.plain if not told else z if z > 30 else log1p(exp(z))
-                if worst_z is None or z > worst_z:
-                    worst, worst_z = s, z
+                if told:
+                    z = bias + told
+                    total += z if z > 30 else log1p(exp(z))
+                    if worst_z is None or z > worst_z:
+                        worst, worst_z = s, z
         return -expm1(-total), worst, 0.0 if worst_z is None else 1 / (1 + exp(-max(-50.0, min(50.0, worst_z))))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: ``doc_id, score, worst_start, worst_end, worst_score``.
 
-    ``worst_start`` and ``worst_end`` are the code points of the sentence most to blame (0, 0 without words). Null, empty
+    ``worst_start`` and ``worst_end`` are the code points of the sentence most to blame (0, 0 where none is). Null, empty
     and wordless texts score the leak alone. Whole texts are read; rows that repeat are scored alike; a null id
     is carried. An empty table gives no rows. Other columns are not read.
     """
