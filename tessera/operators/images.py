@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,28 +29,36 @@ def _info(content: bytes) -> dict:
         "status": Status.SUCCESS.name, "error_code": 0, "width": h.width, "height": h.height, "bpp": h.bpp, "subsample": h.subsample, "mode": "PROGRESSIVE" if h.progressive else "BASELINE",
         "num_components": len(h.components), "orientation": h.orientation, "has_thumb": h.has_thumb, "thumb_width": h.thumb_width, "thumb_height": h.thumb_height, "thumb_offset": h.thumb_offset,
         "restart_interval": h.restart_interval, "scan_start": h.scan_start, "scan_end": h.scan_end, "approx_low": h.approx_low, "approx_high": h.approx_high,
-        "components": [{"id": c.id, "index": c.index, "h": c.h, "v": c.v, "quant": c.quant, "dc": c.dc, "ac": c.ac} for c in h.components], "quant": h.quant,
+        "components": [{"id": c.id, "index": c.index, "h": c.h, "v": c.v, "quant": c.quant, "dc": c.dc, "ac": c.ac} for c in h.components], "quant": [*h.quant.items()],
         "huff": [{"cls": k, "id": n, "lengths": list(lengths), "symbols": bytes(symbols)} for (k, n), (lengths, symbols) in sorted(h.huff.items())], "scan_offset": h.scan_offset,
     }
 
 
 def _mapped(df: DataFrame, row, schema: str) -> DataFrame:
-    """Rows of df to any number of rows, streamed in small batches; ``row`` gets a pandas row and yields tuples."""
+    """Rows of df to any number of rows, streamed in small Arrow batches; ``row`` gets a row and yields tuples."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     ship(df.sparkSession)
-    names = [f.name for f in df.sparkSession.createDataFrame([], schema).schema]
+    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches):
+        import pyarrow as pa
 
-    def run(frames):
-        for frame in frames:
-            for item in frame.itertuples(index=False):
-                out = [*row(item)]
-                for at in range(0, len(out), 4096):
-                    yield pd.DataFrame(out[at : at + 4096], columns=names)
+        for batch in batches:
+            names, columns, out = batch.schema.names, [batch.column(k).to_pylist() for k in range(batch.num_columns)], []
+            for values in zip(*columns, strict=True):
+                out += row(SimpleNamespace(**dict(zip(names, values, strict=True))))
+                while len(out) >= 4096:
+                    yield _batch(pa, out[:4096], arrow)
+                    del out[:4096]
+            yield _batch(pa, out, arrow)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
-def _nullable(v):
-    return None if v is None or v is pd.NA else bytes(v)
+def _batch(pa, rows: list[tuple], schema):
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def image_info(images: DataFrame) -> DataFrame:
@@ -56,7 +66,7 @@ def image_info(images: DataFrame) -> DataFrame:
     names = [f.name for f in images.sparkSession.createDataFrame([], INFO).schema]
 
     def row(item):
-        info = _info(_nullable(item.content))
+        info = _info(item.content)
         yield (item.image_id, *[info.get(n) for n in names])
 
     return _mapped(images.select("image_id", "content"), row, f"image_id long, {INFO}")
@@ -72,7 +82,7 @@ def segments(images: DataFrame) -> DataFrame:
         from ..codec.entropy import segments as split
         from ..codec.header import Bad, parse
 
-        content = _nullable(item.content)
+        content = item.content
         try:
             h = parse(content)
         except Bad:
@@ -141,7 +151,7 @@ def decode_frames(images: DataFrame, options: DecodeOptions | None = None) -> Da
     def row(item):
         from ..codec.decode import decode_frame, frame_bytes
 
-        frame = decode_frame(_nullable(item.content), options)
+        frame = decode_frame(item.content, options)
         if frame.status is not Status.SUCCESS:
             if options.mode is Mode.FAILFAST:
                 raise ValueError(f"image {item.image_id}: {frame.status.name}")
@@ -159,7 +169,7 @@ def decode_tiles(images: DataFrame, options: DecodeOptions | None = None) -> Dat
     def row(item):
         from ..codec.decode import decode_frame, tiles
 
-        frame = decode_frame(_nullable(item.content), options)
+        frame = decode_frame(item.content, options)
         if frame.status is not Status.SUCCESS and options.mode is not Mode.PERMISSIVE:
             if options.mode is Mode.FAILFAST:
                 raise ValueError(f"image {item.image_id}: {frame.status.name}")
