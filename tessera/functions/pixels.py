@@ -72,3 +72,10 @@ def dither_level(gray: Column, bits: int) -> Column:
 
 def green_bits(p565: Column) -> Column:
     return F.shiftright(p565.bitwiseAND(F.lit(0x7E0)), 5)
+
+
+def unstuffed(data: Column) -> Column:
+    """Bytes of a scan without stuffing: FF 00 to FF, FF with any other byte to nothing, both only at byte places."""
+    spaced = F.regexp_replace(F.hex(data), "(..)", "$1 ")
+    whole = F.regexp_replace(spaced, "FF 00 ", "ff ")
+    return F.unhex(F.replace(F.upper(F.regexp_replace(whole, "FF (?:[0-9A-F]{2} )?", "")), F.lit(" "), F.lit("")))

@@ -222,3 +222,17 @@ def dither(gray_rows: DataFrame, bits: int) -> DataFrame:
         return pd.DataFrame({"image_id": frame["image_id"], "y": frame["y"], "packed": [row.tobytes() for row in dithered(image, bits)]})
 
     return gray_rows.groupBy("image_id").applyInPandas(run, "image_id long, y int, packed binary")
+
+
+def client_dither(tiles: DataFrame) -> DataFrame:
+    """565 tiles to a byte per pixel of four levels: ``image_id, tile_seq, width_used, height, levels``."""
+
+    def row(item):
+        import numpy as np
+
+        from ..codec.decode import client_dithered
+
+        pixels = np.frombuffer(item.pixels, "<u2").reshape(item.height, item.width_used)
+        yield item.image_id, item.tile_seq, item.width_used, item.height, client_dithered((pixels & 0x7E0) >> 5).tobytes()
+
+    return _mapped(tiles.select("image_id", "tile_seq", "width_used", "height", "pixels"), row, "image_id long, tile_seq int, width_used int, height int, levels binary")

@@ -541,3 +541,34 @@ def upload_reassembly(spark, sf_dir):
     chunks = rows.withColumn("byte_index", F.coalesce(F.sum(F.length("chunk")).over(before), F.lit(0)))
     out = reassemble(chunks.select(F.col("o_custkey").alias("file_id"), "byte_index", "chunk"), 100)
     return out.withColumn("content", F.decode("content", "utf-8"))
+
+
+@query("""WITH s AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'FF00' WHEN 1 THEN '0FF0' WHEN 2 THEN 'FFD0' ELSE 'FFFF00' END AS mid, printf('%08X', o_orderkey % 4294967296) AS h FROM orders)
+ SELECT o_orderkey, replace(upper(regexp_replace(regexp_replace(regexp_replace(h || mid || h, '(..)', '\\1 ', 'g'), 'FF 00 ', 'ff ', 'g'), 'FF (?:[0-9A-F]{2} )?', '', 'g')), ' ', '') AS clean FROM s""")
+def unstuff(spark, sf_dir):
+    key = F.col("o_orderkey")
+    middle = F.element_at(F.array(*[F.lit(v) for v in ("FF00", "0FF0", "FFD0", "FFFF00")]), (key % 4 + 1).cast("int"))
+    h = F.lpad(F.hex(key % F.lit(4294967296)), 8, "0")
+    return derived.table(spark, sf_dir, "orders").select("o_orderkey", F.hex(P.unstuffed(F.unhex(F.concat(h, middle, h)))).alias("clean"))
+
+
+@query("SELECT * FROM (VALUES (0, 'SUCCESS'), (1, 'INVALID_PARAMETER'), (2, 'DECODE_ERROR'), (3, 'UNSUPPORTED'), (4, 'INVALID_FILE'), (5, 'ERROR_MEMORY')) AS t(error_code, status)")
+def status_names(spark, sf_dir):
+    from .options import Status
+
+    return spark.createDataFrame([(int(s), s.name) for s in Status], "error_code int, status string")
+
+
+@query()
+def decode_dithered(spark, sf_dir):
+    from .options import PixelType
+
+    return _digested(_frames(spark, sf_dir, pixel_type=PixelType.DITHER2))
+
+
+@query()
+def client_dither(spark, sf_dir):
+    """Tiles of 565 pixels to four levels of their green channel, with error diffusion inside each tile."""
+    from ..operators.images import client_dither as run
+
+    return _digested(run(_frames(spark, sf_dir, "tiles")), "levels")
