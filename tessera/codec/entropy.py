@@ -8,7 +8,7 @@ import numpy as np
 
 from ..plans.options import Status
 from .header import Bad, Header
-from .tables import ZIGZAG_ARRAY, decode_table
+from .tables import ZIGZAG_ARRAY, decode_table, skip_table
 
 _RESTART = re.compile(rb"\xff+[\xd0-\xd7]")
 _OTHER = re.compile(rb"\xff+[\x01-\xcf\xd8-\xfe]")
@@ -43,7 +43,8 @@ def decode_segment(data: bytes, header: Header, n_mcus: int, keep_chroma: bool =
         for _ in range(header.luma_blocks if c.index == 0 else 1):
             dc = decode_table(*header.huff[0, c.dc])
             ac = None if header.progressive else decode_table(*header.huff[1, c.ac])
-            plan.append((dc, ac, c.index == 0 or keep_chroma))
+            keep = c.index == 0 or keep_chroma
+            plan.append((dc, ac, None if header.progressive or keep and not dc_only else skip_table(*header.huff[1, c.ac]), keep))
     out = np.zeros((n_mcus, len(plan), 64), np.int32)
     # 16 bits at every byte place, so that a code is one look-up; the padding reads as ones, as encoders pad.
     n_bits = 8 * len(data)
@@ -52,7 +53,7 @@ def decode_segment(data: bytes, header: Header, n_mcus: int, keep_chroma: bool =
     low, natural = header.approx_low if header.progressive else 0, ZIGZAG_ARRAY.tolist()
     at = 0
     for m in range(n_mcus):
-        for b, (dc, ac, keep) in enumerate(plan):
+        for b, (dc, ac, skip, keep) in enumerate(plan):
             byte = at >> 3
             if byte > len(data):
                 return out, m
@@ -78,6 +79,12 @@ def decode_segment(data: bytes, header: Header, n_mcus: int, keep_chroma: bool =
                 if byte > len(data):
                     return out, m
                 window = word(padded[byte : byte + 6], "big") << (at & 7) & 0xFFFFFFFFFFFF
+                if skip and (entry := skip[window >> 32]) and k + (entry >> 8 & 255) <= 64:
+                    at += entry & 255
+                    k += entry >> 8 & 255
+                    if entry >> 16:
+                        break
+                    continue
                 entry = ac[window >> 32]
                 if not entry:
                     return out, m
@@ -94,7 +101,7 @@ def decode_segment(data: bytes, header: Header, n_mcus: int, keep_chroma: bool =
                 k += symbol >> 4
                 if k > 63:
                     return out, m
-                if keep and not dc_only:
+                if not skip:
                     v = (window << used & 0xFFFFFFFFFFFF) >> (48 - size)
                     out[m, b, natural[k]] = v if v >= 1 << (size - 1) else v - (1 << size) + 1
                 k += 1

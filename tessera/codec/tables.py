@@ -40,6 +40,30 @@ def decode_table(lengths: tuple[int, ...], symbols: tuple[int, ...]) -> list[int
     return table.tolist()
 
 
+@lru_cache(256)
+def skip_table(lengths: tuple[int, ...], symbols: tuple[int, ...]) -> list[int]:
+    """For every 16 bits: how far the AC codes go that fit in them whole, with their extra bits.
+
+    bits | coefficients << 8 | (1 << 16 if the last is an end of block); 0 where not even one fits. For blocks of which
+    nothing is stored: several codes are passed at a look-up.
+    """
+    one = np.array(decode_table(lengths, symbols), np.int64)
+    window, bits, coefs = np.arange(1 << 16), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+    ended, open_ = np.zeros(1 << 16, bool), np.ones(1 << 16, bool)
+    while open_.any():
+        entry = one[(window << bits) & 0xFFFF]
+        symbol = entry & 255
+        size = symbol & 15
+        used = (entry >> 8) + size
+        end = (symbol == 0) & (entry > 0)
+        open_ &= (entry > 0) & (bits + used <= 16) & ((size > 0) | end | (symbol == 0xF0))
+        bits[open_] += used[open_]
+        coefs[open_] += np.where(end, 0, (symbol >> 4) + 1)[open_]
+        ended |= open_ & end
+        open_ &= ~end & (bits < 16)
+    return (bits | (coefs << 8) | (ended.astype(np.int64) << 16)).tolist()
+
+
 def codes(lengths, symbols) -> dict[int, tuple[int, int]]:
     """symbol -> (code, length)."""
     out, code, k = {}, 0, 0
