@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
@@ -13,6 +14,8 @@ from ..shipping import ship
 
 #: Keys joined by broadcast in join_skewed(): the broadcast side never has more rows than this.
 HOT_KEYS = 1000
+#: Bytes of an Arrow batch that goes to Python, about.
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,8 +60,15 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, weight: str, cols:
 
 
 def arrow(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow with this package on the executors."""
-    ship(df.sparkSession)
+    """mapInArrow with this package on the executors, and with batches of few bytes, for texts may be long.
+
+    The session's limit on a batch's bytes is lowered to BATCH_BYTES for that, if it is above.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(limit, "64m")) > BATCH_BYTES:
+        spark.conf.set(limit, f"{BATCH_BYTES}b")
     return df.mapInArrow(function, schema)
 
 
@@ -74,3 +84,18 @@ def in_slices(batches: Iterable, rows: int = 512) -> Iterable:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+_CUT = re.compile(rb"(?<=[\x21-\x7E])[\x20\x09-\x0D]")
+
+
+def stretches(text: bytes, size: int = 1 << 20) -> Iterable[bytes]:
+    """A text in parts of about ``size`` bytes, each of which ends with printable ASCII before ASCII white space.
+
+    So no word, and no white space that a tokenizer could join, is cut, and Python holds the words of one part at a time.
+    """
+    at = 0
+    while len(text) - at > size and (end := _CUT.search(text, at + size)):
+        yield text[at : end.start()]
+        at = end.start()
+    yield text[at:] if at else text

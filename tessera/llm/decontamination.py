@@ -20,7 +20,7 @@ from itertools import repeat
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, cut, in_slices, utf8
+from .common import arrow, cut, in_slices, stretches, utf8
 
 WINDOW = 10
 #: Words in one automaton, at most (about 250 bytes a word in a worker).
@@ -38,7 +38,7 @@ def words_of(text: bytes) -> list[bytes]:
 class SuffixAutomaton:
     """Of (item, words) pairs. ``hits`` tells which words of a text lie in an occurrence of an item's window."""
 
-    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW, whole: Iterable[bool] | None = None):
+    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW):
         self.window, self.vocabulary = window, {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -130,13 +130,19 @@ class SuffixAutomaton:
                     break
                 yield k + 1, n, item
 
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Spans (first word, word after the last), merged and ascending, and the items that occur."""
+    def numbers(self, text: bytes):
+        """The words of a text as an array of numbers; -1: in no item."""
         import numpy as np
 
-        if len(words) < self.least:
+        get = self.vocabulary.get
+        return np.concatenate([np.fromiter(map(get, words, repeat(-1)), np.int32, len(words)) for words in map(words_of, stretches(text))])
+
+    def hits(self, ids) -> tuple[list[tuple[int, int]], set[str]]:
+        """Spans (first word, word after the last), merged and ascending, and the items that occur, of a text's numbers."""
+        import numpy as np
+
+        if len(ids) < self.least:
             return [], set()
-        ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int32, len(words))
         edges = np.flatnonzero(np.diff(np.concatenate(([False], ids >= 0, [False]))))
         starts, ends = edges[::2], edges[1::2]
         long = ends - starts >= self.least  # only runs of known words can hold a match
@@ -201,11 +207,11 @@ def _scan(df: DataFrame, automaton, carry: list[str]) -> DataFrame:
             sizes, all_spans, all_items = [], [], []
             before = zip(batch.column(spans_at).to_pylist(), batch.column(items_at).to_pylist(), strict=True) if again else repeat(((), ()))
             for text, (old_spans, old_items) in zip(utf8(batch.column(text_at)), before, strict=False):
-                words = words_of(text)
-                spans, items = known.hits(words)
+                ids = known.numbers(text)
+                spans, items = known.hits(ids)
                 if old_spans:
                     spans = merged([*spans, *zip(old_spans[::2], old_spans[1::2], strict=True)])
-                sizes.append(len(words))
+                sizes.append(len(ids))
                 all_spans.append([x for span in spans for x in span])
                 all_items.append(sorted({*items, *old_items}))
             made = [pa.array(sizes, pa.int64()), pa.array(all_spans, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.string()))]

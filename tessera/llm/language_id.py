@@ -21,13 +21,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, in_slices, utf8
+from .common import arrow, in_slices, stretches, utf8
 
 ORDER = 4
 #: Documents of a language, at most, and the longest that is picked, in bytes; at most so many languages, the largest.
 SAMPLE, LONGEST_SAMPLE, MOST_LANGUAGES = 500, 20_000, 200
 #: Words that a worker remembers, and their bytes, at most.
-MOST_WORDS, MOST_BYTES = 500_000, 16_000_000
+MOST_WORDS, MOST_BYTES = 300_000, 8_000_000
 
 UNKNOWN = "und"
 
@@ -176,13 +176,15 @@ class Predictor:
         if not self.model.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
         letter, out = regex.compile(r"\p{L}"), []
-        split = [t.split() for t in texts]
-        self.learn({w for words in split for w in words})
-        for text, words in zip(texts, split, strict=True):
+        self.learn({w for text in texts for part in stretches(text) for w in part.split()})
+        for text in texts:
             if not letter.search(text.decode()):
                 out.append((UNKNOWN, 0.0))
                 continue
-            bits = self.bits[np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))].sum(axis=0)
+            bits = np.zeros(len(self.model.languages))
+            for part in stretches(text):
+                words = part.split()
+                bits += self.bits[np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))].sum(axis=0)
             best = int(bits.argmin())
             out.append((self.model.languages[best], float(1 / np.exp2(np.minimum(0, bits[best] - bits)).sum())))
         return out

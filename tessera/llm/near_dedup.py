@@ -19,12 +19,12 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, cut, in_slices, join_skewed, utf8
+from .common import arrow, cut, in_slices, join_skewed, stretches, utf8
 
 #: A pair at the threshold is in no common bucket with this probability at most; bins a signature has at most.
 MISS, MOST_BINS = 1e-6, 160
 #: Remembered words of a worker.
-MOST_WORDS = 500_000
+MOST_WORDS = 200_000
 
 _ODD = 0x9E3779B97F4A7C15
 _MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)  # fixed values: the multipliers of a public 64-bit finaliser
@@ -69,19 +69,21 @@ class Hasher:
             acc = self.mixed(acc * np.uint64(_ODD) + a)
         return acc
 
-    def shingles(self, text: bytes):
-        """The sorted distinct hashes of its shingles: of ``shingle`` words, or of all if it has fewer; none without words."""
-        np = self.np
-        words = text.lower().split()
-        if not words:
-            return np.array([], np.uint64)
+    def _hashes(self, words: list[bytes]):
         known, digest = self.known, self.hash.xxh3_64_intdigest
         if len(known) > MOST_WORDS:
             known.clear()
         for w in set(words).difference(known):
             known[w] = digest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = min(self.shingle, len(words))
+        return self.np.fromiter(map(known.__getitem__, words), self.np.uint64, len(words))
+
+    def shingles(self, text: bytes):
+        """The sorted distinct hashes of its shingles: of ``shingle`` words, or of all if it has fewer; none without words."""
+        np = self.np
+        h = np.concatenate([self._hashes(part.lower().split()) for part in stretches(text)])
+        if not len(h):
+            return h
+        n = min(self.shingle, len(h))
         return np.unique(self.chained(n, [h[k : len(h) - n + 1 + k] for k in range(n)]))
 
     def buckets(self, shingles):

@@ -1,14 +1,15 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences, and only bags have labels. A sentence's log-odds z are a sum of word weights and a
-bias (a word's weight is the sum of those of the word and its stems); it is toxic with probability sigmoid(z), and the document with 1 - prod(1 - sigmoid(z)), a noisy-or, which equals
-1 - exp(-sum softplus(z)); a leak stands for labels that no sentence explains. Only
-sentences with a known feature take part: the rest are certain not to offend, so length alone raises no score. The weights follow from the documents' labels by gradient descent on that likelihood, and
-afterwards tell the offending sentences within a document.
+A document is a bag of sentences, and only bags have labels. A sentence's log-odds z are a bias and the sum of its words'
+weights, a word's weight being that of the word and its stems. It is toxic with probability sigmoid(z), and the document
+with 1 - prod(1 - sigmoid(z)), a noisy-or, which equals 1 - exp(-sum softplus(z)); a leak stands for labels that no
+sentence explains. Only sentences with a known feature take part: the rest are certain not to offend, so length alone
+raises no score. The weights follow from the documents' labels by gradient descent on that likelihood, and afterwards
+tell the offending sentences within a document.
 
 Fitting uses a bounded sample of the labelled rows (``sample`` documents, picked by a hash of their id, so it is the same
-on every run and for every size of cluster); its words are counted on the executors, and the driver gets each sampled
-document's sentences as word numbers. Scoring reads every row and whole texts.
+on every run and for every size of cluster); the driver gets their texts, ``sample`` x LONGEST_SAMPLE bytes at most.
+Scoring reads every row and whole texts.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import arrow, in_slices, utf8
 
 #: Labelled documents a model is fitted on, at most; those longer than LONGEST_SAMPLE bytes are not picked for it.
-SAMPLE, LONGEST_SAMPLE = 6000, 20_000
+SAMPLE, LONGEST_SAMPLE = 5000, 20_000
 #: Lengths in bytes of the word beginnings that are features.
 STEMS = (3, 4, 5, 6)
 #: A feature that a model knows is in so many different sampled sentences, and tells their labels by so much chi-square.
@@ -30,7 +31,7 @@ LEAST_SENTENCES, LEAST_CHI, MOST_FEATURES = 4, 25.0, 50_000
 #: ... and the share of label 1 among its sentences lies so far from the overall share to 1.
 LEAST_LIFT = 0.25
 #: Words whose weight a worker remembers.
-MOST_WORDS = 500_000
+MOST_WORDS = 200_000
 
 _SENTENCE = re.compile(rb"[.!?\n\r]+")
 _TO_WORDS = bytes(b if b >= 0x80 or chr(b).isalpha() and not 65 <= b <= 90 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -73,35 +74,42 @@ def features(word: bytes) -> list[bytes]:
     return [word, *(b"^" + word[:k] for k in STEMS if len(word) > k)]
 
 
-def telling_features(bags: list[list[list[bytes]]], labels: list[int]) -> list[bytes]:
+def bag_of(text: bytes) -> list[frozenset[bytes]]:
+    """The words of each sentence that has any."""
+    return [frozenset(w) for s in sentences(text) if (w := words_of(s))]
+
+
+def telling_features(rows: list[tuple[int, bytes]]) -> list[bytes]:
     """Features whose sentences lie in documents of label 1 more than chance has it (by chi-square and by share).
 
-    Equal sentences count once, so that copies of a document are no evidence of their own.
+    Equal sentences count once, so that copies of a document are no evidence of their own. Texts are split anew in each
+    pass, and sentences are told apart by a hash: the driver never holds the words of all texts at once.
     """
-    label_of: dict[frozenset, int] = {}
-    for bag, y in zip(bags, labels, strict=True):
-        for s in bag:
-            key = frozenset(s)
-            label_of[key] = min(label_of.get(key, 1), y)
-    seen: dict[bytes, int] = {}
-    hot: dict[bytes, int] = {}
-    for key, y in label_of.items():
-        for w in {f for word in key for f in features(word)}:
-            seen[w] = seen.get(w, 0) + 1
-            if y:
-                hot[w] = hot.get(w, 0) + 1
+    label_of: dict[int, int] = {}
+    for y, text in rows:
+        for s in bag_of(text):
+            label_of[hash(s)] = min(label_of.get(hash(s), 1), y)
     total, positive = len(label_of), sum(label_of.values())
     if not 0 < positive < total:
         return []
-    rate, found = positive / total, []
-    for w, n in seen.items():
-        if n >= LEAST_SENTENCES:
-            if hot.get(w, 0) < n * (rate + LEAST_LIFT * (1 - rate)):
+    seen: dict[bytes, int] = {}
+    hot: dict[bytes, int] = {}
+    for _, text in rows:
+        for s in bag_of(text):
+            y = label_of.pop(hash(s), None)
+            if y is None:
                 continue
-            chi = (hot.get(w, 0) - n * rate) ** 2 / (n * rate * (1 - rate) * (1 - n / (total + 1)))
+            for f in {f for word in s for f in features(word)}:
+                seen[f] = seen.get(f, 0) + 1
+                if y:
+                    hot[f] = hot.get(f, 0) + 1
+    rate, found = positive / total, []
+    for f, n in seen.items():
+        if n >= LEAST_SENTENCES and hot.get(f, 0) >= n * (rate + LEAST_LIFT * (1 - rate)):
+            chi = (hot.get(f, 0) - n * rate) ** 2 / (n * rate * (1 - rate) * (1 - n / (total + 1)))
             if chi >= LEAST_CHI:
-                found.append((-chi, w))
-    return [w for _, w in sorted(found)[:MOST_FEATURES]]
+                found.append((-chi, f))
+    return [f for _, f in sorted(found)[:MOST_FEATURES]]
 
 
 def fit(rows: list[tuple[int, bytes]], epochs: int = 60, rate: float = 0.1, decay: float = 1e-4) -> Model:
@@ -112,8 +120,7 @@ def fit(rows: list[tuple[int, bytes]], epochs: int = 60, rate: float = 0.1, deca
     """
     import numpy as np
 
-    bags = [[w for s in sentences(text) if (w := words_of(s))] for _, text in rows]
-    known = telling_features(bags, [y for y, _ in rows])
+    known = telling_features(rows)
     if not known:
         share = sum(y for y, _ in rows) / len(rows) if rows else 0.0
         return Model({}, -30.0, -np.log1p(-min(max(share, 1e-6), 1 - 1e-6)))
@@ -121,9 +128,9 @@ def fit(rows: list[tuple[int, bytes]], epochs: int = 60, rate: float = 0.1, deca
     labels = np.array([y for y, _ in rows], float)
     # Flat arrays: the known words of all sentences, each with its sentence; each sentence with its document.
     word, word_at, doc_at = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            own = [number[f] for w in {*s} for f in features(w) if f in number]
+    for d, (_, text) in enumerate(rows):
+        for s in bag_of(text):
+            own = [number[f] for w in s for f in features(w) if f in number]
             if own:
                 word.extend(own)
                 word_at.extend([len(doc_at)] * len(own))
