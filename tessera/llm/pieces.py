@@ -14,16 +14,32 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 from array import array
 from collections import Counter
 
+from .common import stretches
+
 #: Longest remembered pre-token in bytes, and how many are remembered: together they bound a worker's memory.
-LONGEST, MOST = 64, 600_000
+LONGEST, MOST = 64, 400_000
 
 _SPACED = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 #: White space beyond [\x20\x09-\x0D], by the Unicode property and by Python's isspace().
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
+#: What may follow a word and makes one pre-token of its own: ASCII punctuation but the apostrophe, which begins contractions.
+PUNCTUATION = string.punctuation.replace("'", "")
+
+
+def _spelled() -> list[str]:
+    """The character that stands for each byte: itself if it is printable, else the next free one from U+0100."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    free = iter(range(0x100, 0x200))
+    return [chr(b if b in own else next(free)) for b in range(256)]
+
+
+_SPELLED = _spelled()
+
 _LOADED: dict[tuple[str, int], Pieces] = {}
 
 
@@ -62,17 +78,49 @@ class Pieces:
         self.tokenizer.no_padding()
         self.code = {2: "H", 4: "I"}[width]
         self.spaced = spec.get("normalizer") is None
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.model = self.tokenizer.model
         self._ids, self._counts = _Memo(self._encode), _Memo(self._count)
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _parts(self, key) -> str | tuple | None:
+        """What a new pre-token is made of: one entry for the model, or keys side by side, or None: ask the library.
+
+        Only plain cases are taken apart, in which the library's own rules leave no choice: letters up to U+00FF, which
+        normalise to themselves and make one run, perhaps with a run of PUNCTUATION after them.
+        """
+        if self.spaced:
+            text, lead = key, 1 if key[0] == " " else 0
+        else:
+            text, lead = key.decode().lower() if key.isascii() else key.decode(), 0
+        core = text[lead:].rstrip(PUNCTUATION)
+        if core.isalpha() and (core.isascii() or max(core) <= "\xff"):
+            end = lead + len(core)
+            if end < len(text):
+                return (text[:end], text[end:]) if self.spaced else (text[:end].encode(), text[end:].encode())
+            return self._mapped(text if self.spaced else text.lower())
+        if self.spaced and key[0] in "\n\t" and len(key) > 1 and not key[1].isspace():
+            return key[0], key[1:]
+        return None
+
+    def _mapped(self, text: str) -> str:
+        """As the byte-level vocabulary spells it."""
+        return text if text.isascii() and text.isalpha() else "".join(map(_SPELLED.__getitem__, text.encode()))
+
+    def _make(self, key, memo: _Memo, leaf):
+        parts = self._parts(key)
+        if parts is None:
+            return leaf(self._whole(key if self.spaced else key.decode()))
+        if isinstance(parts, str):
+            return leaf([t.id for t in self.model.tokenize(parts)])
+        return memo[parts[0]] + memo[parts[1]]
+
     def _encode(self, key) -> bytes:
-        return array(self.code, self._whole(key if self.spaced else key.decode())).tobytes()
+        return self._make(key, self._ids, lambda ids: array(self.code, ids).tobytes())
 
     def _count(self, key) -> int:
-        return len(self._whole(key if self.spaced else key.decode()))
+        return self._make(key, self._counts, len)
 
     def pre_tokens(self, text: bytes) -> list | None:
         """Those of a text, in order; None if it must be encoded whole."""
@@ -85,11 +133,17 @@ class Pieces:
 
     def ids(self, text: bytes) -> bytes:
         """Its ids, as unsigned integers of the width."""
+        return b"".join(map(self._ids_of, stretches(text)))
+
+    def _ids_of(self, text: bytes) -> bytes:
         found = self.pre_tokens(text)
         return b"".join(map(self._ids.__getitem__, found)) if found is not None else array(self.code, self._whole(text.decode())).tobytes()
 
     def count(self, text: bytes) -> int:
         """How many ids it has: each distinct pre-token's pieces times its frequency here; no ids are made."""
+        return sum(map(self._count_of, stretches(text)))
+
+    def _count_of(self, text: bytes) -> int:
         found = self.pre_tokens(text)
         if found is None:
             return len(self._whole(text.decode()))

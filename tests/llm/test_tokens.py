@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tessera.llm import packing, token_counts, token_files
+from tessera.llm.common import stretches
 from tessera.llm.packing import CapacityTree, best_fit_decreasing
 from tessera.llm.pieces import Pieces, vocabulary_path
 from tessera.llm.queries import op4_token_files, op7_packing, op9_token_counts
@@ -34,8 +35,11 @@ KNOWN = {p: (Pieces(p, 4), Tokenizer.from_file(p)) for p in (WORD, BYTE)}
 TEXTS = st.text(st.one_of(st.sampled_from(list(" \t\n\r\x0b\x0c\x1c\x85\xa0 　'sStTreRE.,<|endoftext|>09éÉßΣσςİı́̀क्षi\U0001f600")), st.characters(exclude_categories=["Cs"])), max_size=60)
 
 
-@settings(max_examples=400, deadline=None)
-@given(TEXTS)
+WORDS = st.lists(st.tuples(st.sampled_from([" ", " ", "  ", "\n", "\t", "\n\n", "", "\xa0 "]), st.text(st.sampled_from(list("abTHEingéÉßªµÿñ̌")), min_size=0, max_size=8), st.sampled_from(["", "", ".", ",", "!!", "|", "'s", "?)", "12", ".,"])), max_size=12).map(lambda x: "".join(map("".join, x)))
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.one_of(TEXTS, WORDS))
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_pieces_are_the_librarys(path, text):
     own, library = KNOWN[path]
@@ -44,6 +48,18 @@ def test_pieces_are_the_librarys(path, text):
     assert own.count(text.encode()) == len(want)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_long_texts_are_read_in_parts(path):
+    """Of any size of part: what the library gives for the whole."""
+    text = "It's  a \n\n long\xa0 text,\t of 12 words — and\u2003 more. " * 40
+    want = ids_of(KNOWN[path][1], text)
+    for size in (1, 7, 100):
+        parts = [*stretches(text.encode(), size)]
+        assert b"".join(parts) == text.encode() and len(parts) > 10
+        got = b"".join(map(KNOWN[path][0].ids, parts))
+        assert np.frombuffer(got, np.uint32).tolist() == want
+
+
 def test_counts(odd, empty, word):
     got = sorted(token_counts.count_tokens(odd, WORD).collect(), key=repr)
     want = sorted(((r.doc_id, len((r.text or "").encode()), len(ids_of(word, r.text))) for r in odd.collect()), key=repr)
