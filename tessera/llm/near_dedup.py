@@ -8,6 +8,8 @@
    bucket. So pairs grow with the members, not with their square, and a member meets other centres in other bands.
 4. Every member's most promising pair is verified on the full sets; what is connected then needs no further pairs;
    all others are verified. Components follow from the confirmed links by hooking and pointer jumping.
+5. Where the members of a bucket that were no centres then lie in several components, those of different ones are all
+   compared, in blocks of bounded size. So each pair with a common bucket is compared or lies in one component.
 
 The number of bands follows from the threshold such that a pair at it shares no bucket once in a million.
 """
@@ -19,12 +21,15 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import arrow, cut, in_slices, join_skewed, stretches, utf8
 
 #: A pair at the threshold is in no common bucket with this probability at most; bins a signature has at most.
 MISS, MOST_BINS = 1e-6, 160
 #: Remembered words of a worker.
 MOST_WORDS = 200_000
+#: Members of a block, about, and their shingles: two blocks meet in one task.
+BLOCK, BLOCK_SHINGLES = 128, 500_000
 
 _ODD = 0x9E3779B97F4A7C15
 _MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)  # fixed values: the multipliers of a public 64-bit finaliser
@@ -150,14 +155,18 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
     return arrow(df.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")), run, f"doc {kind}, set array<long>")
 
 
-def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """``member, centre, shared`` (buckets) from ``rep, buckets``: stars around three centres of each bucket."""
+def bucket_members(reps: DataFrame) -> DataFrame:
+    """``bucket, rep, n, c1, c2, c3`` from ``rep, buckets``: members of buckets that have others, with the three centres."""
     members = reps.select("rep", F.explode("buckets").alias("bucket"))
     first, second = F.xxhash64("bucket", "rep"), F.xxhash64("rep", "bucket", F.lit(1))
     stars = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("rep", first).alias("c1"), F.min_by("rep", second).alias("c2"), F.max_by("rep", first).alias("c3"))
     stars = cut(stars.filter("n > 1"))
-    joined = join_skewed(members, stars, "bucket", "n", ["c1", "c2", "c3"], F.col("rep")).filter("c1 is not null")
-    spokes = joined.select("rep", F.explode(F.array_distinct(F.array("c1", "c2", "c3"))).alias("centre")).filter("rep <> centre")
+    return join_skewed(members, stars, "bucket", "n", ["n", "c1", "c2", "c3"], F.col("rep")).select("bucket", "rep", "n", "c1", "c2", "c3").filter("c1 is not null")
+
+
+def candidate_pairs(members: DataFrame) -> DataFrame:
+    """``member, centre, shared`` (buckets): stars around three centres of each bucket."""
+    spokes = members.select("rep", F.explode(F.array_distinct(F.array("c1", "c2", "c3"))).alias("centre")).filter("rep <> centre")
     return spokes.groupBy(F.col("rep").alias("member"), "centre").agg(F.count("*").alias("shared"))
 
 
@@ -200,6 +209,98 @@ def _merged(edges: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def _carried(found: DataFrame, outer: DataFrame) -> DataFrame:
+    """``node, component`` of nodes whose components ``found`` (or who alone) are nodes of ``outer``."""
+    joined = found.join(outer.toDF("component", "_outer"), "component", "left").select("node", F.coalesce("_outer", "component").alias("component"))
+    return joined.unionByName(outer.join(found.select(F.col("component").alias("_known")), F.col("node") == F.col("_known"), "left_anti"))
+
+
+def open_members(members: DataFrame, of: DataFrame, sets: DataFrame) -> DataFrame:
+    """``bucket, i, j, rep, label``: members in the cells where pairs meet that no centre has compared.
+
+    Members that are no centre are dealt into blocks, those of the bucket's largest component apart; a cell is two blocks,
+    not both of that component. Buckets with the same such members count once.
+    """
+    sizes = sets.select(F.col("doc").alias("rep"), F.size("set").alias("_size")).groupBy("rep").agg(F.max("_size").alias("size"))
+    rest = members.filter("n > 3 and rep <> c1 and rep <> c2 and rep <> c3").select("bucket", "rep")
+    rest = rest.join(of.toDF("rep", "_component"), "rep", "left").join(sizes, "rep").select("bucket", "rep", "size", F.coalesce("_component", "rep").alias("label"))
+    rest = cut(rest)
+    parts = rest.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    whole = parts.groupBy("bucket").agg(
+        F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"),
+        F.max(F.struct("n", "size", "label")).alias("main"),
+    )
+    whole = whole.filter("parts > 1").dropDuplicates(["n", "x", "y"])
+
+    def blocks(n, size):
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+
+    whole = whole.select("bucket", "n", F.col("main.label").alias("main"), blocks(F.col("main.n"), F.col("main.size")).alias("inner"), blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("outer"))
+    placed = join_skewed(rest, cut(whole), "bucket", "n", ["main", "inner", "outer"], F.col("rep")).filter("outer is not null")
+    draw = F.xxhash64("rep", F.lit(2))
+    within = F.col("label") == F.col("main")
+    placed = placed.withColumn("block", F.when(within, F.col("outer") + F.pmod(draw, F.col("inner"))).otherwise(F.pmod(draw, F.col("outer"))).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(within, F.col("outer") - 1).otherwise(F.col("outer") + F.col("inner") - 1))))
+    return placed.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "label")
+
+
+def common_counts(sets: list):
+    """How many values each two of the sorted sets share."""
+    import numpy as np
+
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(n > 1) - 1
+    keep = (n > 1)[column]
+    owner, column = owner[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)))
+    for at in range(0, int((n > 1).sum()), 4096):
+        lo, hi = np.searchsorted(column, [at, at + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[lo:hi], column[lo:hi] - at] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def block_links(cells: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """``a, b``: labels that a pair within a cell links, as a spanning forest of each cell."""
+    above, below = threshold
+    ship(cells.sparkSession)
+    kind = cells.schema["label"].dataType.simpleString()
+
+    def meet(table):
+        import numpy as np
+        import pyarrow as pa
+
+        rows = {}
+        for rep, label, own in zip(table.column("rep").to_pylist(), table.column("label").to_pylist(), table.column("set").combine_chunks(), strict=True):
+            rows.setdefault(rep, (label, own.values.to_numpy(zero_copy_only=False)))
+        labels, own = [x for x, _ in rows.values()], [x for _, x in rows.values()]
+        sizes = np.array([len(x) for x in own], np.int64)
+        common = common_counts(own)
+        near = common * below >= (sizes[:, None] + sizes[None, :] - common) * above
+        root = {x: x for x in labels}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        links = []
+        for p, q in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+            a, b = find(labels[p]), find(labels[q])
+            if a != b:
+                root[a] = b
+                links.append((labels[p], labels[q]))
+        kinds = table.schema.field("label").type
+        return pa.table({"a": pa.array([a for a, _ in links], kinds), "b": pa.array([b for _, b in links], kinds)})
+
+    held = cells.join(sets.select(F.col("doc").alias("rep"), "set"), "rep").select("bucket", "i", "j", "rep", "label", "set")
+    return held.groupBy("bucket", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}")
+
+
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """One row per row of df: ``doc_id, n_shingles, component_id``, the smallest id that links reach, itself included.
 
@@ -214,7 +315,8 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     classes = cut(classes)
     heads = classes.select(F.col("key").alias("_key"), "rep")
     reps = sig.filter(F.size("buckets") > 0).join(heads, (F.col("key") == F.col("_key")) & (F.col("doc_id") == F.col("rep")), "left_semi").select(F.col("doc_id").alias("rep"), "buckets").dropDuplicates(["rep"])
-    pairs = cut(candidate_pairs(reps))
+    members = cut(bucket_members(reps))
+    pairs = cut(candidate_pairs(members))
     needed = pairs.select(F.explode(F.array("member", "centre")).alias("_need")).distinct()
     texts = df.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(needed, F.col("_doc") == F.col("_need"), "left_semi")
     sets = cut(shingle_sets(texts, "_doc", "_text", shingle))
@@ -224,9 +326,11 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     rest = cut(_merged(pairs.select("member", "centre"), found))
     more = verified(rest, sets, threshold).join(rest, ["member", "centre"]).select("a", "b")
     outer = connected_components(more)
-    joined = found.join(outer.toDF("component", "_outer"), "component", "left").select("node", F.coalesce("_outer", "component").alias("component"))
-    alone = outer.join(found, outer["node"] == found["component"], "left_anti")
-    of = joined.unionByName(alone)
+    of = cut(_carried(found, outer))
+    cells = cut(open_members(members, of, sets))
+    if not cells.isEmpty():
+        last = cut(block_links(cells, sets, threshold))
+        of = _carried(of, connected_components(last))
     named = classes.join(of, F.col("rep") == F.col("node"), "left").select("key", "copies", F.coalesce("component", "rep").alias("component_id"))
     out = join_skewed(sig.select("doc_id", "n_shingles", "key"), named, "key", "copies", ["component_id"], F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

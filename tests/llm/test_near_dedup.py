@@ -60,6 +60,27 @@ def test_groups_of_copies_and_chains(spark, threshold):
     assert got(df, shingle=3, threshold=threshold) == brute(rows, 3, threshold)
 
 
+def family(variants, changed, words=300, seed=11):
+    """An original and variants of it that only the original links, in rows of id and text."""
+    draw = random.Random(seed)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(words)]
+    rows = [" ".join(base)]
+    for _ in range(variants):
+        own = list(base)
+        for at in draw.sample(range(words), changed):
+            own[at] = f"x{draw.randrange(10**9)}"
+        rows.append(" ".join(own))
+    draw.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_family_that_only_the_original_links(spark):
+    rows = family(300, 6)
+    want = brute(rows, 3, (85, 100))
+    assert len({c for _, _, c in want}) < 10
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle=3, threshold=(85, 100)) == want
+
+
 def test_query_against_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     out = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in op10_near_dedup(spark, sf_dir).collect()), key=repr)
