@@ -42,3 +42,13 @@ def test_stages(spark, sf_dir, tmp_path):
 def test_all_operators_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries()) == [*range(1, 11)]
     assert [n for n, _ in P.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
+
+
+def test_near_copies_of_a_large_family(spark, sf_dir):
+    from test_near_dedup import brute, family
+
+    rows = family(300, 5)
+    want = {c for _, _, c in brute(rows, P.SHINGLE, P.THRESHOLD)}
+    assert len(want) < 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in P.without_near_copies(spark, docs, sf_dir).collect()} == want
