@@ -11,7 +11,7 @@ code length in every language is a constant of the frozen model, and each worker
 operations over all new words of a batch, then only looks it up.
 
 Statistics come from a bounded sample of the labelled rows: ``sample`` documents of each language, picked by a hash of
-their id. Prediction reads every row and whole texts.
+their id; where a language has none but long ones, the beginnings of its shortest, if wanted. Prediction reads every row and whole texts.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import arrow, in_slices, stretches, utf8
 
 ORDER = 4
-#: Documents of a language, at most, and the longest that is picked, in bytes; at most so many languages, the largest.
-SAMPLE, LONGEST_SAMPLE, MOST_LANGUAGES = 500, 20_000, 200
+#: Documents of a language, at most, and the longest that is picked whole, in bytes.
+SAMPLE, LONGEST_SAMPLE = 500, 20_000
 #: Words that a worker remembers, and their bytes, at most.
 MOST_WORDS, MOST_BYTES = 300_000, 8_000_000
 
@@ -128,15 +128,28 @@ def code_lengths(model: Model, words: list[bytes]):
     return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model of the rows with a language. The driver gets the word counts of the sample only."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, long_rows: bool = False) -> Model:
+    """A model of the rows with a language. The driver gets the word counts of the sample only.
+
+    With ``long_rows``, a language whose texts are all longer than LONGEST_SAMPLE bytes is learnt from the first
+    LONGEST_SAMPLE characters of its ``sample`` shortest; without, it isn't in the model.
+    """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"))
-    rows = rows.filter(F.col("_lang").isNotNull() & F.col("_id").isNotNull() & (F.octet_length("_text") <= LONGEST_SAMPLE))
-    largest = [r._lang for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MOST_LANGUAGES).collect()]
-    ranked = rows.filter(F.col("_lang").isin(largest)).select("_id", "_lang").withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")))
-    # At most sample x MOST_LANGUAGES ids: a broadcast of proven size.
-    picked = ranked.filter(F.col("_rank") <= sample).select(F.col("_id").alias("_pick"), F.col("_lang").alias("_pick_lang")).distinct()
-    chosen = rows.join(F.broadcast(picked), (F.col("_id") == F.col("_pick")) & (F.col("_lang") == F.col("_pick_lang")))
+    rows = rows.filter(F.col("_lang").isNotNull() & F.col("_id").isNotNull() & F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
+    rows = rows.withColumn("_bytes", F.octet_length("_text")).withColumn("_long", F.col("_bytes") > LONGEST_SAMPLE)
+    if not long_rows:
+        rows = rows.filter(~F.col("_long"))
+    order = F.col("_long"), F.when(F.col("_long"), F.col("_bytes")), F.xxhash64("_id"), F.col("_id")
+    ranked = rows.select("_id", "_lang", "_bytes", "_long").withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy(*order))).filter(F.col("_rank") <= sample)
+    # Short rows come first: where there are any, long ones aren't needed.
+    ranked = ranked.withColumn("_only_long", F.min("_long").over(Window.partitionBy("_lang"))).filter(F.col("_long") == F.col("_only_long"))
+    # At most ``sample`` ids of each language: a broadcast that doesn't grow with the rows.
+    picked = ranked.select(F.col("_id").alias("_pick"), F.col("_lang").alias("_pick_lang"), F.col("_long").alias("_pick_long")).distinct()
+    chosen = rows.join(F.broadcast(picked), (F.col("_id") == F.col("_pick")) & (F.col("_lang") == F.col("_pick_lang")) & (F.col("_long") == F.col("_pick_long")))
+    # The last word of a beginning may be cut, so it goes unless it is all there is.
+    head = F.substring(F.regexp_replace("_text", r"^[\x20\x09-\x0D]+", ""), 1, LONGEST_SAMPLE)
+    whole = F.regexp_replace(head, r"[^\x20\x09-\x0D]+$", "")
+    chosen = chosen.withColumn("_text", F.when(~F.col("_long"), F.col("_text")).when(whole == "", head).otherwise(whole))
     words = chosen.select("_lang", F.explode(F.split("_text", r"[\x20\x09-\x0D]+")).alias("_word")).filter("_word <> ''").groupBy("_lang", "_word").count()
     counts: dict[str, dict[bytes, int]] = {}
     for r in words.toLocalIterator():
@@ -156,7 +169,8 @@ class Predictor:
         import numpy as np
 
         fresh = [w for w in words if w not in self.number]
-        if len(self.number) + len(fresh) > MOST_WORDS or self.bytes > MOST_BYTES:
+        wide = max(1, len(self.model.languages) // 200)
+        if len(self.number) + len(fresh) > MOST_WORDS // wide or self.bytes > MOST_BYTES:
             self.number, self.bytes, self.bits = {}, 0, self.bits[:0]
             fresh = list(words)
         if fresh:
@@ -165,8 +179,9 @@ class Predictor:
             self.bytes += sum(map(len, fresh))
             if at + len(fresh) > len(self.bits):
                 self.bits = np.concatenate([self.bits[:at], np.zeros((max(at, 2 * len(fresh)), self.bits.shape[1]))])
-            for k in range(0, len(fresh), 4096):
-                part = fresh[k : k + 4096]
+            step = max(1, 4096 // wide)
+            for k in range(0, len(fresh), step):
+                part = fresh[k : k + step]
                 self.bits[at + k : at + k + len(part)] = code_lengths(self.model, part)
 
     def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:

@@ -26,7 +26,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
-    model = language_id.train(docs.filter(~held_out))
+    model = language_id.train(docs.filter(~held_out), long_rows=True)
     out = language_id.predict(docs, model)
     return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "lang_pred", "score")
 

@@ -63,6 +63,15 @@ def test_language_held_out(spark):
     assert (out.lang == out.lang_pred).mean() > 0.97
 
 
+def test_languages_of_long_documents_and_many_languages(spark, tmp_path):
+    rows = [(k, "one two three", "en") for k in range(30)] + [(k, "zwei drei vier " * 2000, "de") for k in range(30, 60)] + [(k, "zwei drei", None) for k in range(60, 70)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r.lang_pred for r in op2_language_id(spark, str(tmp_path)).collect()}
+    assert all(out[k] == ("en" if k < 30 else "de") for k in range(70))
+    many = spark.createDataFrame([(k, f"word{k}", f"l{k}") for k in range(205)], "doc_id long, text string, lang string")
+    assert len(L.train(many).languages) == 205
+
+
 def test_toxicity_held_out(spark):
     labels = spark.read.parquet(f"{MID}/labels.parquet")
     out = op8_toxicity(spark, MID).join(labels, "doc_id").filter("held_out").toPandas()
