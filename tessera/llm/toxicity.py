@@ -8,7 +8,8 @@ raises no score. The weights follow from the documents' labels by gradient desce
 tell the offending sentences within a document.
 
 Fitting uses a bounded sample of the labelled rows (``sample`` documents, picked by a hash of their id, so it is the same
-on every run and for every size of cluster); the driver gets their texts, ``sample`` x LONGEST_SAMPLE bytes at most.
+on every run and for every size of cluster), of any length. The driver gets ``sample`` x MEAN_SAMPLE bytes of text at
+most: where the picked ones have more, or one has more than MOST_SAMPLE, the longest give a sample of their sentences.
 Scoring reads every row and whole texts.
 """
 
@@ -20,10 +21,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, in_slices, utf8
+from .common import arrow, cut, in_slices, utf8
 
-#: Labelled documents a model is fitted on, at most; those longer than LONGEST_SAMPLE bytes are not picked for it.
-SAMPLE, LONGEST_SAMPLE = 5000, 20_000
+#: Labelled documents a model is fitted on, at most; bytes of their texts, at most: on average, and of one.
+SAMPLE, MEAN_SAMPLE, MOST_SAMPLE = 5000, 20_000, 1_000_000
 #: Lengths in bytes of the word beginnings that are features.
 STEMS = (3, 4, 5, 6)
 #: A feature that a model knows is in so many different sampled sentences, and tells their labels by so much chi-square.
@@ -52,15 +53,51 @@ def words_of(sentence: bytes) -> list[bytes]:
     return sentence.translate(_TO_WORDS).split()
 
 
+def allowance(sizes: list[int], total: int) -> int:
+    """The most bytes that each text may give so that all give ``total`` at most; MOST_SAMPLE if that is less."""
+    left = total
+    for k, size in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - k)
+        if size > share:
+            return min(share, MOST_SAMPLE)
+        left -= size
+    return MOST_SAMPLE
+
+
+def shortened(text: bytes, most: int) -> bytes:
+    """Sentences of the text, picked by their hashes, of ``most`` bytes at most with their ends; the text's own beginning if none fits."""
+    import xxhash
+
+    if len(text) <= most:
+        return text
+    parts = [s for s in sentences(text) if s.strip()]
+    kept, size = [], 0
+    for at in sorted(range(len(parts)), key=lambda k: (xxhash.xxh3_64_intdigest(parts[k]), k)):
+        if size + len(parts[at]) + 1 <= most:
+            kept.append(at)
+            size += len(parts[at]) + 1
+    return b"\n".join(parts[at] for at in sorted(kept)) or text[:most].decode(errors="ignore").encode()
+
+
 def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, label_id_col: str, sample: int) -> list[tuple[int, bytes]]:
     """(label, text) of at most ``sample`` labelled documents; an id's labels that disagree leave it out."""
     known = labels.select(F.col(label_id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_id is not null and _label is not null")
     known = known.groupBy("_id").agg(F.min("_label").alias("_label"), F.max("_label").alias("_other")).filter("_label = _other").drop("_other")
-    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text"), F.octet_length(text_col).alias("_bytes"))
-    short = rows.filter(F.col("_text").isNotNull() & (F.col("_bytes") <= LONGEST_SAMPLE))
-    picked = short.select("_doc").join(known, F.col("_doc") == F.col("_id")).select("_id", "_label").orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text")).filter("_text is not null")
+    picked = rows.select("_doc", F.octet_length("_text").alias("_bytes")).join(known, F.col("_doc") == F.col("_id")).select("_id", "_label", "_bytes").orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    picked = cut(picked)
+    most = allowance([r._bytes for r in picked.select("_bytes").collect()], sample * MEAN_SAMPLE)
     # At most ``sample`` rows: a broadcast of proven size.
-    found = short.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("_id", "_label", "_text").dropDuplicates(["_id"])
+    found = rows.join(F.broadcast(picked.select("_id", "_label").distinct()), F.col("_doc") == F.col("_id")).select("_id", "_label", "_text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in in_slices(batches):
+            texts = [shortened(text, most).decode() for text in utf8(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["_id", "_label", "_text"])
+
+    found = arrow(found, run, found.schema).dropDuplicates(["_id"])
     return sorted((r._id, r._label, r._text.encode()) for r in found.toLocalIterator())
 
 

@@ -101,6 +101,33 @@ def test_offending_sentence_is_found(spark, model):
     assert X.score(clean, model).first().score < 0.5  # length alone is no offence
 
 
+def test_toxicity_learns_from_long_documents(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    plain = [f"{a}{b}{c}" for a in "bcdfghjk" for b in "aeiou" for c in "lmnr"]
+    texts = []
+    for k in range(60):
+        own = [" ".join(draw.choice(plain, 6)) for _ in range(900 if k % 3 < 2 else 5)]
+        if k % 3 == 0:
+            own[::30] = [f"{s} awfulness" for s in own[::30]]
+        texts.append(". ".join(own))
+    assert all(len(t) > 20_000 for t in texts[::3])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)], "doc_id long, toxic int")
+    assert [t for _, _, t in X.sample_of(docs, labels, "doc_id", "text", "toxic", "doc_id", 60)] == [t.encode() for t in texts]
+    assert b"awfulness" in X.train(docs, labels).weights
+    monkeypatch.setattr(X, "MEAN_SAMPLE", 5000)
+    rows = X.sample_of(docs, labels, "doc_id", "text", "toxic", "doc_id", 60)
+    assert len(rows) == 60 and sum(len(t) for _, _, t in rows) <= 60 * 5000
+    assert b"awfulness" in X.train(docs, labels, sample=60).weights
+
+
+def test_toxicity_allowance():
+    assert X.allowance([], 10) == X.allowance([3, 4], 10) == X.MOST_SAMPLE
+    assert X.allowance([2, 50, 60], 42) == 20
+    assert X.shortened("é".encode() * 10, 5) == "éé".encode()
+    assert X.shortened(b"one. two. three. four", 11).count(b"\n") >= 1 and len(X.shortened(b"one. two. three. four", 11)) <= 11
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty, model):
     out = X.score(odd, model)
     assert out.count() == odd.count() and out.filter("score is null or score < 0 or score > 1").isEmpty()
