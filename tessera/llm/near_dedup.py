@@ -1,7 +1,7 @@
 """Near-duplicates by MinHash: one permutation, optimal densification, banded buckets, star-shaped candidates.
 
-1. A document's words make shingles, its shingles a set of 64-bit hashes. Equal sets make a class, and only the class's
-   smallest document goes on: copies never meet as pairs.
+1. A document's words make shingles, its shingles a set of 64-bit hashes. Equal sets make a class with a number, and only
+   the class goes on, with the set of its smallest document: copies never meet as pairs.
 2. One hash permutation splits into bins; a bin's value is its smallest hash. Empty bins borrow from a bin that a fixed
    random sequence of their own names (optimal densification). Bins make bands, and a band's values a bucket.
 3. A bucket's members are compared with its centres only: three members, drawn by hashes that differ from bucket to
@@ -116,7 +116,7 @@ class Hasher:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float) -> DataFrame:
-    """``doc_id, n_shingles, key`` (128 bits of the set; null if empty), ``buckets`` (empty if no other set can be near)."""
+    """``doc_id, n_shingles, key`` (128 bits of the set; null if empty), ``buckets`` (empty if no other set can be near), ``digest`` (of the text)."""
     kind = df.schema[id_col].dataType.simpleString()
     bands, rows = bands_for(threshold)
     # Sets of n and n + 1 shingles are n / (n + 1) similar at best; with fewer only equal sets can link.
@@ -133,15 +133,15 @@ def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int, threshol
                 sizes.append(len(own))
                 keys.append(hasher.key(own) if len(own) else None)
                 buckets.append(hasher.buckets(own) if len(own) >= least else [])
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "buckets"])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "key", "buckets", "digest"])
 
-    return arrow(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, f"doc_id {kind}, n_shingles long, key binary, buckets array<long>")
+    text = F.col(text_col).cast("string")
+    return arrow(df.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest")), run, f"doc_id {kind}, n_shingles long, key binary, buckets array<long>, digest long")
 
 
-def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``doc, set``: the full set of each document."""
-    kind = df.schema[id_col].dataType.simpleString()
+def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
+    """``doc, set`` from ``doc, key, text``: the full set of each text whose set has that key."""
 
     def run(batches):
         import numpy as np
@@ -149,10 +149,15 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
 
         hasher = Hasher(shingle)
         for batch in in_slices(batches):
-            sets = [hasher.shingles(text).view(np.int64) for text in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc", "set"])
+            docs, sets = [], []
+            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
+                own = hasher.shingles(text)
+                if hasher.key(own) == key:
+                    docs.append(doc)
+                    sets.append(own.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc", "set"])
 
-    return arrow(df.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")), run, f"doc {kind}, set array<long>")
+    return arrow(df.select("doc", "key", "text"), run, "doc long, set array<long>")
 
 
 def bucket_members(reps: DataFrame) -> DataFrame:
@@ -210,7 +215,7 @@ def _merged(edges: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _carried(found: DataFrame, outer: DataFrame) -> DataFrame:
-    """``node, component`` of nodes whose components ``found`` (or who alone) are nodes of ``outer``."""
+    """``node, component`` of nodes whose components ``found`` (or who themselves) are nodes of ``outer``."""
     joined = found.join(outer.toDF("component", "_outer"), "component", "left").select("node", F.coalesce("_outer", "component").alias("component"))
     return joined.unionByName(outer.join(found.select(F.col("component").alias("_known")), F.col("node") == F.col("_known"), "left_anti"))
 
@@ -311,15 +316,19 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     rows. Other columns are not read.
     """
     sig = cut(signatures(df, id_col, text_col, shingle, threshold[0] / threshold[1]))
-    classes = sig.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = cut(classes)
-    heads = classes.select(F.col("key").alias("_key"), "rep")
-    reps = sig.filter(F.size("buckets") > 0).join(heads, (F.col("key") == F.col("_key")) & (F.col("doc_id") == F.col("rep")), "left_semi").select(F.col("doc_id").alias("rep"), "buckets").dropDuplicates(["rep"])
+    classes = sig.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    # The node of a class is a number of its own, for an id may stand for several; the cut keeps it.
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
+    heads = classes.filter("least is not null").select(F.col("key").alias("_key"), "least", "rep")
+    first = sig.filter(F.size("buckets") > 0).join(heads, (F.col("key") == F.col("_key")) & (F.col("doc_id") == F.col("least")))
+    reps = cut(first.dropDuplicates(["key", "doc_id"]).select("rep", "buckets", "key", "doc_id", "digest"))
     members = cut(bucket_members(reps))
     pairs = cut(candidate_pairs(members))
-    needed = pairs.select(F.explode(F.array("member", "centre")).alias("_need")).distinct()
-    texts = df.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(needed, F.col("_doc") == F.col("_need"), "left_semi")
-    sets = cut(shingle_sets(texts, "_doc", "_text", shingle))
+    needed = pairs.select(F.explode(F.array("member", "centre")).alias("doc")).distinct()
+    needed = needed.join(reps.select(F.col("rep").alias("doc"), "key", F.col("doc_id").alias("_need"), F.col("digest").alias("_digest")), "doc")
+    text = F.col(text_col).cast("string")
+    texts = df.select(F.col(id_col).alias("_doc"), text.alias("text"), F.xxhash64(text).alias("_own")).join(needed, (F.col("_doc") == F.col("_need")) & (F.col("_own") == F.col("_digest")))
+    sets = cut(shingle_sets(texts, shingle))
     best = pairs.groupBy("member").agg(F.max_by("centre", F.struct("shared", F.xxhash64("member", "centre"))).alias("centre"))
     links = cut(verified(best, sets, threshold))
     found = connected_components(links.toDF("a", "b"))
@@ -331,7 +340,9 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     if not cells.isEmpty():
         last = cut(block_links(cells, sets, threshold))
         of = _carried(of, connected_components(last))
-    named = classes.join(of, F.col("rep") == F.col("node"), "left").select("key", "copies", F.coalesce("component", "rep").alias("component_id"))
+    of = cut(classes.join(of, F.col("rep") == F.col("node"), "left").select("key", "copies", "least", F.coalesce("component", "rep").alias("component")))
+    smallest = of.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
+    named = join_skewed(of, smallest, "component", "classes", ["component_id"], F.col("key")).select("key", "copies", "component_id")
     out = join_skewed(sig.select("doc_id", "n_shingles", "key"), named, "key", "copies", ["component_id"], F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -81,6 +81,16 @@ def test_family_that_only_the_original_links(spark):
     assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle=3, threshold=(85, 100)) == want
 
 
+def test_ids_with_different_texts(spark):
+    """Two families whose smallest id is the same: near copies of both are linked, and the families are not."""
+    a, b = family(3, 1, 60, 1), family(3, 1, 60, 2)
+    rows = [(0, a[0][1]), (0, b[0][1])] + [(k, t) for k, t in a[1:]] + [(10 + k, t) for k, t in b[1:]]
+    # brute force names a component by its least id, 0 for both; each row must be linked within its own family
+    want = brute(rows, 3, (80, 100))
+    assert {c for _, _, c in want} == {0}
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle=3, threshold=(80, 100)) == want
+
+
 def test_query_against_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     out = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in op10_near_dedup(spark, sf_dir).collect()), key=repr)
