@@ -16,6 +16,10 @@ from ..shipping import ship
 HOT_KEYS = 1000
 #: Bytes of an Arrow batch that goes to Python, about.
 BATCH_BYTES = 8 << 20
+#: Bytes of what a worker remembers of single words, about, and the longest word that it remembers.
+MEMO_BYTES, LONGEST_WORD = 24 << 20, 64
+
+_HELD: dict = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,9 +40,15 @@ def new_folder(spark: SparkSession, what: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder: its plan starts anew from reliable files."""
+    """df, computed once and kept in the shared folder: its plan starts anew from reliable files.
+
+    Spark cleans the shuffles, broadcasts and checkpoints that the driver's garbage collector finds unused, so it is asked
+    to look for them here, as it would else only do when its heap is full.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    df.sparkSession._jvm.System.gc()
+    return out
 
 
 def text_of(column: str | Column) -> Column:
@@ -59,17 +69,70 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, weight: str, cols:
     return out.select(*left.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in cols])
 
 
-def arrow(df: DataFrame, function, schema) -> DataFrame:
+class Memo(dict):
+    """Word -> what ``make`` gives for it; forgets all beyond MEMO_BYTES, and never keeps words beyond LONGEST_WORD."""
+
+    def __init__(self, make):
+        self.make, self.room = make, MEMO_BYTES
+
+    def __missing__(self, word):
+        value = self.make(word)
+        if len(word) <= LONGEST_WORD:
+            # An entry's objects and its place in the table take some 200 bytes beside what they hold.
+            self.room -= 200 + len(word) + (len(value) if isinstance(value, bytes) else 0)
+            if self.room < 0:
+                self.clear()
+                self.room = MEMO_BYTES
+            self[word] = value
+        return value
+
+
+def held(key, make):
+    """The one thing that a worker keeps from task to task: made anew unless it was made for the same key."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Memory that a worker has freed goes back to the system, for idle workers stay."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(function, batches: Iterable, keep) -> Iterable:
+    """What ``function`` yields; a worker that holds another thing than ``keep`` drops it before."""
+    if keep not in _HELD:
+        _HELD.clear()
+    try:
+        yield from function(batches)
+    finally:
+        release()
+
+
+def arrow(df: DataFrame, function, schema, keep=None) -> DataFrame:
     """mapInArrow with this package on the executors, and with batches of few bytes, for texts may be long.
 
-    The session's limit on a batch's bytes is lowered to BATCH_BYTES for that, if it is above.
+    ``keep``: the key of what the function takes from held(). The session's limit on a batch's bytes is lowered to
+    BATCH_BYTES, if it is above.
     """
     spark = df.sparkSession
     ship(spark)
     limit = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(limit, "64m")) > BATCH_BYTES:
         spark.conf.set(limit, f"{BATCH_BYTES}b")
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        return tidied(function, batches, keep)
+
+    return df.mapInArrow(run, schema)
 
 
 def utf8(column) -> list[bytes]:

@@ -190,8 +190,11 @@ def automata(benchmark: DataFrame, item_col: str, text_col: str, window: int, bl
         yield SuffixAutomaton(block, window)
 
 
-def _scan(df: DataFrame, automaton, carry: list[str]) -> DataFrame:
-    """``carry`` and the columns __n_words, __spans (word numbers: start, end, start, ...), __items; adds to those that df has."""
+def _scan(df: DataFrame, automaton, carry: list[str], then=None, then_schema=None) -> DataFrame:
+    """``carry`` and the columns __n_words, __spans (word numbers: start, end, start, ...), __items; adds to those that df has.
+
+    ``then``, if given, maps these batches to ones of ``then_schema`` in the same worker.
+    """
     broadcast = df.sparkSession.sparkContext.broadcast(automaton)
     text_at, again = df.columns.index("__text"), "__spans" in df.columns
     kept = [c for c in carry if c in df.columns]
@@ -217,16 +220,18 @@ def _scan(df: DataFrame, automaton, carry: list[str]) -> DataFrame:
             made = [pa.array(sizes, pa.int64()), pa.array(all_spans, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in at] + made, [*kept, "__n_words", "__spans", "__items"])
 
-    return arrow(df, run, schema)
+    if then is None:
+        return arrow(df, run, schema)
+    return arrow(df, lambda batches: then(run(batches)), then_schema)
 
 
-def _scanned(df: DataFrame, benchmark: DataFrame, carry: list[str], item_col: str, item_text_col: str, window: int, block_words: int) -> DataFrame:
+def _scanned(df: DataFrame, benchmark: DataFrame, carry: list[str], item_col: str, item_text_col: str, window: int, block_words: int, then=None, then_schema=None) -> DataFrame:
     before = None
     for automaton in automata(benchmark, item_col, item_text_col, window, block_words):
         if before is not None:
             df = cut(_scan(df, before, [*df.columns[: df.columns.index("__text") + 1]]))
         before = automaton
-    return _scan(df, before, carry)
+    return _scan(df, before, carry, then, then_schema)
 
 
 def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -264,21 +269,20 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", l
     """df with the spans removed from its texts and without the documents that are mostly hit; all columns stay.
 
     ``min_span`` is the shortest span, in words, that is removed (1: whatever is hit); ``length_col``, if given, becomes
-    the new text's length in characters where the text changed. Texts without hits are untouched, null ones too.
+    the new text's length in characters where the text changed. Texts without hits are untouched, null and empty ones
+    too. Rows that repeat are treated alike, and ids play no part. An empty table stays empty; empty items change nothing.
     """
     names = df.columns
     inner = df.toDF(*[f"c{k}" for k in range(len(names))])
     text = f"c{names.index(text_col)}"
     length = f"c{names.index(length_col)}" if length_col in names else None
     columns = inner.columns
-    found = _scanned(inner.withColumn("__text", F.col(text).cast("string")), benchmark, columns, item_col, item_text_col, window, block_words)
-    schema = inner.schema
 
-    def run(batches):
+    def without(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for batch in in_slices(batches):
+        for batch in batches:
             spans = batch.column(len(columns) + 1).to_pylist()
             if not any(spans):
                 yield batch.select(columns)
@@ -299,4 +303,5 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text_col: str = "text", l
                 arrays[at] = pa.array([len(fresh[k]) if k in fresh else n for k, n in enumerate(old)], arrays[at].type)
             yield pa.RecordBatch.from_arrays(arrays, columns).filter(pa.array(keep)) if not pc.all(pa.array(keep)).as_py() else pa.RecordBatch.from_arrays(arrays, columns)
 
-    return arrow(found, run, schema).toDF(*names)
+    marked = inner.withColumn("__text", F.col(text).cast("string"))
+    return _scanned(marked, benchmark, columns, item_col, item_text_col, window, block_words, without, inner.schema).toDF(*names)

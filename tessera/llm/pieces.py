@@ -18,10 +18,7 @@ import string
 from array import array
 from collections import Counter
 
-from .common import stretches
-
-#: Longest remembered pre-token in bytes, and how many are remembered: together they bound a worker's memory.
-LONGEST, MOST = 64, 400_000
+from .common import Memo, held, stretches
 
 _SPACED = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 #: White space beyond [\x20\x09-\x0D], by the Unicode property and by Python's isspace().
@@ -40,8 +37,6 @@ def _spelled() -> list[str]:
 
 _SPELLED = _spelled()
 
-_LOADED: dict[tuple[str, int], Pieces] = {}
-
 
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
@@ -49,21 +44,6 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Memo(dict):
-    """Pre-token -> what ``make`` gives for it."""
-
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= LONGEST:
-            if len(self) >= MOST:
-                self.clear()
-            self[key] = value
-        return value
-
-
 class Pieces:
     """A tokenizer file's ids and counts; ``width``: bytes an id takes (2 or 4)."""
 
@@ -79,7 +59,7 @@ class Pieces:
         self.code = {2: "H", 4: "I"}[width]
         self.spaced = spec.get("normalizer") is None
         self.model = self.tokenizer.model
-        self._ids, self._counts = _Memo(self._encode), _Memo(self._count)
+        self._ids, self._counts = Memo(self._encode), Memo(self._count)
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -108,7 +88,7 @@ class Pieces:
         """As the byte-level vocabulary spells it."""
         return text if text.isascii() and text.isalpha() else "".join(map(_SPELLED.__getitem__, text.encode()))
 
-    def _make(self, key, memo: _Memo, leaf):
+    def _make(self, key, memo: Memo, leaf):
         parts = self._parts(key)
         if parts is None:
             return leaf(self._whole(key if self.spaced else key.decode()))
@@ -152,11 +132,8 @@ class Pieces:
 
 
 def pieces(path: str, width: int = 4) -> Pieces:
-    """A worker keeps what it has loaded, and what it remembers, from task to task."""
-    if (path, width) not in _LOADED:
-        _LOADED.clear()
-        _LOADED[path, width] = Pieces(path, width)
-    return _LOADED[path, width]
+    """A worker keeps what it has loaded, and what it remembers, for tasks of arrow(..., keep=(path, width))."""
+    return held((path, width), lambda: Pieces(path, width))
 
 
 def id_width(path: str, *more_ids: int) -> int:
