@@ -58,11 +58,14 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts:
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
-    """The rows of df that stay, all columns. Ids name documents: rows that share the id of a kept row stay with it.
+    """The rows of df that stay, all columns, whatever their names: of equal texts, null being empty, the smallest id.
 
-    A row of null id stays where its whole group has null ids.
+    Ids name documents: rows that share the id and text of a kept row stay with it. A row of null id stays where its
+    whole group has null ids. An empty table stays empty.
     """
     rows = df.select(F.col(id_col).alias("_id"), normalised(df[text_col]).alias("_norm")).withColumn("_digest", sha256(F.col("_norm")))
-    winners = _classes(rows, salts).select(F.col("keep_id").alias("_keep_id"), F.col("_digest").alias("_keep_digest"))
-    mine = df.withColumn("_own_digest", sha256(normalised(df[text_col])))
-    return mine.join(winners, F.col("_own_digest").eqNullSafe(F.col("_keep_digest")) & df[id_col].eqNullSafe(F.col("_keep_id")), "left_semi").drop("_own_digest")
+    winners = _classes(rows, salts).select("keep_id", F.col("_digest").alias("digest"))
+    names = df.columns
+    inner = df.toDF(*[f"c{k}" for k in range(len(names))])
+    own_id, own_text = (inner[names.index(c)] for c in (id_col, text_col))
+    return inner.join(winners, sha256(normalised(own_text)).eqNullSafe(F.col("digest")) & own_id.eqNullSafe(F.col("keep_id")), "left_semi").toDF(*names)

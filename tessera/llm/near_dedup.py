@@ -22,12 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import arrow, cut, in_slices, join_skewed, stretches, utf8
+from .common import Memo, arrow, cut, in_slices, join_skewed, stretches, utf8
 
 #: A pair at the threshold is in no common bucket with this probability at most; bins a signature has at most.
 MISS, MOST_BINS = 1e-6, 160
-#: Remembered words of a worker.
-MOST_WORDS = 200_000
 #: Members of a block, about, and their shingles: two blocks meet in one task.
 BLOCK, BLOCK_SHINGLES = 128, 500_000
 
@@ -54,7 +52,7 @@ class Hasher:
 
         self.np, self.hash = np, xxhash
         self.shingle, self.bands, self.rows = shingle, bands, rows
-        self.known: dict[bytes, int] = {}
+        self.known = Memo(xxhash.xxh3_64_intdigest)
         bins = bands * rows
         self.edges = np.array([(b << 64) // bins + (1 if (b << 64) % bins else 0) for b in range(bins)], np.uint64)
         # Densification: for each bin, the bins that it asks in turn, and at last all of them from a place of its own.
@@ -75,12 +73,7 @@ class Hasher:
         return acc
 
     def _hashes(self, words: list[bytes]):
-        known, digest = self.known, self.hash.xxh3_64_intdigest
-        if len(known) > MOST_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = digest(w)
-        return self.np.fromiter(map(known.__getitem__, words), self.np.uint64, len(words))
+        return self.np.fromiter(map(self.known.__getitem__, words), self.np.uint64, len(words))
 
     def shingles(self, text: bytes):
         """The sorted distinct hashes of its shingles: of ``shingle`` words, or of all if it has fewer; none without words."""
@@ -341,14 +334,20 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         last = cut(block_links(cells, sets, threshold))
         of = _carried(of, connected_components(last))
     of = cut(classes.join(of, F.col("rep") == F.col("node"), "left").select("key", "copies", "least", F.coalesce("component", "rep").alias("component")))
-    smallest = of.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("classes"))
-    named = join_skewed(of, smallest, "component", "classes", ["component_id"], F.col("key")).select("key", "copies", "component_id")
+    # join_skewed() reads its second table twice, so what makes that table is computed before.
+    smallest = cut(of.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")))
+    named = cut(join_skewed(of, smallest, "component", "classes", ["component_id"], F.col("key")).select("key", "copies", "component_id"))
     out = join_skewed(sig.select("doc_id", "n_shingles", "key"), named, "key", "copies", ["component_id"], F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The rows of df that stay, one document of each component, all columns; rows without an id stay."""
-    out = components(df, id_col, text_col, shingle, threshold)
-    gone = out.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return df.join(gone, df[id_col] == F.col("_gone"), "left_anti")
+    """The rows of df that stay, one document of each component, all columns, whatever their names.
+
+    The document of the smallest id stays; rows that share its id stay with it, and so do rows without an id, and those
+    without words. An empty table stays empty.
+    """
+    names = df.columns
+    gone = components(df, id_col, text_col, shingle, threshold).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    inner = df.toDF(*[f"c{k}" for k in range(len(names))])
+    return inner.join(gone, inner[names.index(id_col)] == F.col("gone"), "left_anti").toDF(*names)

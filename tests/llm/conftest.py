@@ -20,7 +20,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     rows = spark.createDataFrame(ODD, SCHEMA)
-    for name in ("_id", "_norm", "keep_id", "rep", "start", "length", "_text", "key", "__spans", "__text", "score"):
+    for name in ("_id", "_norm", "keep_id", "rep", "start", "length", "_text", "key", "__spans", "__text", "score", "_gone", "gone", "c0", "digest", "_keep_id", "_keep_digest", "_own_digest", "_group", "_base", "sequence", "_lang", "_draw"):
         rows = rows.withColumn(name, F.lit(7))
     return rows.repartition(3)
 

@@ -128,3 +128,21 @@ def test_signatures_estimate_similarity(n):
         a, b = np.sort(both[: max(1, n * 9 // 10)]), np.sort(both)
         agree.append((hasher.buckets(a) == hasher.buckets(b)).mean())
     assert abs(np.mean(agree) - len(a) / len(b)) < 0.05
+
+
+def test_links_within_template_groups(spark):
+    """Groups whose members are about 0.80 similar, with a few pairs at 0.85 or more: no link is lost."""
+    draw, rows, want = random.Random(12), [], []
+    for group in range(40):
+        frame = [f"g{group}f{k}" for k in range(89)]
+        own = [[f"g{group}m{m}w{k}" for k in range(11)] for m in range(120)]
+        for k in range(0, 6, 2):  # pairs that share more than the frame
+            own[k + 1][:4] = own[k][:4]
+        for words in own:
+            text = frame + words
+            draw.shuffle(text)
+            rows.append((len(rows), " ".join(text)))
+        want += brute(rows[-120:], 1, (85, 100))  # groups have no word in common
+    want.sort(key=repr)
+    assert len({c for _, _, c in want}) == 40 * (120 - 3)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shingle=1, threshold=(85, 100)) == want
