@@ -26,6 +26,8 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex")
 #: What may be a credential besides: a run of 20 or more such characters that has a digit, a small and a large letter.
 TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}+"
+#: Matches of a text that are folded together: growing a list copies it, so longer texts are folded in chunks.
+CHUNK = 256
 #: A value that more owners than this have is an example.
 MOST_OWNERS = 2
 
@@ -37,7 +39,8 @@ def spans_of(text: Column, pattern: str, kind: int, value_group: int = 0, least:
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = matches if value_group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
     gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
+    none = F.expr(f"cast(array() as {_SPAN})")
+    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
 
     def step(state: Column, x: Column) -> Column:
         begin = state["at"] + F.char_length(x["gap"])
@@ -48,8 +51,28 @@ def spans_of(text: Column, pattern: str, kind: int, value_group: int = 0, least:
 
     zipped = F.arrays_zip(gaps.alias("gap"), matches.alias("match"), values.alias("value"))
     zipped = F.transform(F.slice(zipped, 1, F.size(matches)), lambda x: F.struct(x["gap"].alias("gap"), x["match"].alias("match"), x["value"].alias("value")))
-    none = F.expr(f"cast(array() as {_SPAN})")
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, step, lambda s: s["out"])).otherwise(none)
+
+    def chunk(rows: Column, k: Column) -> Column:
+        return F.aggregate(F.slice(rows, k * CHUNK + 1, CHUNK), start, step)
+
+    def moved(x: Column, by: Column) -> Column:
+        return F.struct(x["kind"].alias("kind"), (x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["hash"].alias("hash"))
+
+    def add(bases: Column, part: Column) -> Column:
+        return F.concat(bases, F.array(F.element_at(bases, -1) + part["at"]))
+
+    def joined(parts: Column) -> Column:
+        """Offsets within chunks become offsets in the text by the running sum of what the chunks before took."""
+        bases = F.aggregate(parts, F.array(F.lit(0).cast("long")), add)
+        return F.flatten(F.transform(F.arrays_zip(parts.alias("part"), bases.alias("base")), lambda p: F.transform(F.coalesce(p["part"]["out"], none), lambda x: moved(x, p["base"]))))
+
+    # one() names a value, so that it is computed once and not at each use in the functions below.
+    parts = one(zipped, lambda rows: F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int")), lambda k: chunk(rows, k)))
+    return F.when(text.rlike(pattern), one(parts, joined)).otherwise(none)
+
+
+def one(value: Column, of) -> Column:
+    return F.element_at(F.transform(F.array(value), of), 1)
 
 
 def find_candidates(df: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str | None) -> DataFrame:
