@@ -4,6 +4,7 @@ A document that is longer than a window is first cut into full windows and a res
 open window with the least room that still holds them; a segment tree over remaining capacities finds it in
 log(window) steps. Best fit decreasing works on groups of pieces: the pieces are dealt into groups of about
 ``group_pieces`` by a hash, each group is packed by one task, and prefix sums over the groups number the sequences.
+The number of groups follows from the bytes of the texts, so tokens are dealt as they are made.
 A group's size doesn't depend on the input's, so tasks stay as small at any scale, and a few thousand pieces are
 enough for a last-window loss far below one per cent.
 """
@@ -16,11 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import arrow, cut, in_slices, utf8
+from .common import arrow, cut, in_slices, text_of, utf8
 from .pieces import pieces
 
-#: Pieces in a group, on average.
-GROUP_PIECES = 8192
+#: Pieces in a group, on average; groups whose first sequence numbers are broadcast (16 bytes each), at most.
+GROUP_PIECES, MOST_BASES = 8192, 500_000
 
 
 class CapacityTree:
@@ -76,6 +77,7 @@ def cut_into_pieces(df: DataFrame, tokenizer_path: str, end_id: int, window: int
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         known, end = pieces(tokenizer_path, 4), end_id.to_bytes(4, "little")
@@ -93,13 +95,16 @@ def cut_into_pieces(df: DataFrame, tokenizer_path: str, end_id: int, window: int
                     crcs.append(zlib.crc32(part))
                     totals.append(total)
                     if with_ids:
-                        ids.append(memoryview(part).cast("I").tolist())
+                        ids.append(part)
             columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (starts, sizes, crcs, totals))]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names + ["ids"] * with_ids)
+            if with_ids:
+                bounds = np.cumsum([0, *sizes]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(ids), "<i4").astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names + ["ids"] * with_ids)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return arrow(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, schema)
+    return arrow(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, schema, keep=(tokenizer_path, 4))
 
 
 def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES, with_ids: bool = False) -> DataFrame:
@@ -107,25 +112,45 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 2048
 
     ``start``: ids of its document before the piece; ``offset``: its place in its sequence. Sequences are numbered from
     0 without gaps and hold ``sequence_tokens`` ids, at most ``window``. Null and empty texts are documents of the end
-    id alone. Null ids, and rows that repeat one, are packed like any others. An empty table gives no rows. Other
-    columns are not read.
+    id alone. Null ids, and rows that repeat one, are packed like any others; pieces of one length go by id, then by their
+    place and checksum. An empty table gives no rows. Other columns are not read.
     """
-    found = cut(cut_into_pieces(df, tokenizer_path, end_id, window, id_col, text_col, with_ids))
-    groups = max(1, -(-found.count() // group_pieces))
+    # Texts have a token per 2 bytes at most, nearly always; where they have more, groups are twice as large at most.
+    size = df.select((1 + F.octet_length(text_of(F.col(text_col).cast("string"))) / (2 * window)).cast("long").alias("n")).agg(F.sum("n")).first()[0]
+    groups = max(1, -(-(size or 0) // group_pieces))
+    found = cut_into_pieces(df, tokenizer_path, end_id, window, id_col, text_col, with_ids)
     dealt = found.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32"), F.lit(groups)))
 
-    def place(frame):
-        frame = frame.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        frame["sequence"], frame["offset"] = best_fit_decreasing(frame["length"].tolist(), window)
-        frame["sequence_tokens"] = frame.groupby("sequence")["length"].transform("sum")
-        return frame
+    def place(table):
+        import numpy as np
+        import pyarrow as pa
+
+        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        lengths = table.column("length").to_numpy()
+        sequence, offset = (np.array(x, np.int64) for x in best_fit_decreasing(lengths.tolist(), window))
+        total = np.bincount(sequence, lengths).astype(np.int64)[sequence]
+        for name, values in (("sequence", sequence), ("offset", offset), ("sequence_tokens", total)):
+            table = table.append_column(name, pa.array(values))
+        return table
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", sequence long, offset long, sequence_tokens long"
     ship(df.sparkSession)
-    packed = dealt.groupBy("_group").applyInPandas(place, schema)
-    # Placing is repeatable: pieces come from files, and ties are in a fixed order. So the two uses below agree.
+    packed = cut(dealt.groupBy("_group").applyInArrow(place, schema))
     sizes = packed.groupBy("_group").agg((F.max("sequence") + 1).alias("_n"))
-    before = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    out = packed.join(bases, "_group").withColumn("sequence_id", F.col("_base") + F.col("sequence"))
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", *["ids"] * with_ids)
+    bases = prefix_sums(cut(sizes), "_group", "_n").select(F.col("_group").alias("_of"), "_base")
+    # One row of two numbers per group: beyond MOST_BASES groups they are shuffled.
+    out = packed.join(F.broadcast(bases) if groups <= MOST_BASES else bases, F.col("_group") == F.col("_of"))
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("_base") + F.col("sequence")).alias("sequence_id"), "offset", "sequence_tokens", *["ids"] * with_ids)
+
+
+def prefix_sums(sizes: DataFrame, key: str, n: str, block: int = 4096) -> DataFrame:
+    """``sizes`` (one row per key, numbered from 0) with _base, the sum of ``n`` over all smaller keys.
+
+    Sums within blocks of keys, then over the blocks: the one task that sees all blocks has a row per ``block`` keys.
+    """
+    before = lambda window: window.rowsBetween(Window.unboundedPreceding, -1)
+    rows = sizes.withColumn("_block", F.floor(F.col(key) / block))
+    blocks = rows.groupBy("_block").agg(F.sum(n).alias("_sum"))
+    blocks = blocks.select("_block", F.coalesce(F.sum("_sum").over(before(Window.orderBy("_block"))), F.lit(0)).alias("_before"))
+    rows = rows.withColumn("_within", F.coalesce(F.sum(n).over(before(Window.partitionBy("_block").orderBy(key))), F.lit(0)))
+    return rows.join(blocks, "_block").withColumn("_base", F.col("_before") + F.col("_within"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import packing, token_counts, token_files
@@ -98,7 +99,7 @@ def check_packing(rows, texts, tokenizer, window):
     for doc in {r.doc_id for r in rows}:
         own = sorted((r for r in rows if r.doc_id == doc), key=lambda r: r.start)
         ids = np.array([*ids_of(tokenizer, texts[doc]), 1], "<u4")
-        copies = len(own) * 0 + sum(1 for r in own if r.start == 0)
+        copies = sum(1 for r in own if r.start == 0)
         assert sum(r.length for r in own) == copies * len(ids) and all(r.doc_tokens == len(ids) for r in own)
         assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own)
     sequences = {}
@@ -122,6 +123,28 @@ def test_packing_of_odd_rows(odd, empty, byte):
     assert packing.pack(empty, BYTE).isEmpty()
 
 
+def test_packing_keeps_large_and_null_ids(spark, byte):
+    big = 1 << 60
+    ids = [big + 1, big + 3, None, None, big + 3, (1 << 53) + 1]
+    rows = [(doc, f"text {k} " * (k * 30)) for k, doc in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = packing.pack(df, BYTE, window=64, group_pieces=3).collect()
+    assert {r.doc_id for r in out} == set(ids)
+    own = {}
+    for r in out:
+        own.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.length))
+    assert sorted(own, key=repr) == sorted(((doc, len(byte.encode(text, add_special_tokens=False).ids) + 1) for doc, text in rows), key=repr)
+    for (_, total), spans in own.items():
+        assert sum(n for _, n in spans) == total and [a for a, _ in sorted(spans)] == [*range(0, total, 64)]
+    assert {r.sequence_id for r in out} == set(range(1 + max(r.sequence_id for r in out)))
+
+
+def test_prefix_sums(spark):
+    sizes = spark.range(0, 50, 3).select(F.col("id").alias("k"), (F.col("id") % 5).alias("n"))
+    out = {r.k: r._base for r in packing.prefix_sums(sizes, "k", "n", block=7).collect()}
+    assert out == {k: sum(x % 5 for x in range(0, k, 3)) for k in range(0, 50, 3)}
+
+
 @given(st.lists(st.integers(1, 64), max_size=80))
 def test_best_fit_is_the_tightest(lengths):
     lengths = sorted(lengths, reverse=True)
