@@ -21,18 +21,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, cut, in_slices, utf8
+from .common import Memo, arrow, cut, in_slices, utf8
 
 #: Labelled documents a model is fitted on, at most; bytes of their texts, at most: on average, and of one.
 SAMPLE, MEAN_SAMPLE, MOST_SAMPLE = 5000, 20_000, 1_000_000
 #: Lengths in bytes of the word beginnings that are features.
 STEMS = (3, 4, 5, 6)
 #: A feature that a model knows is in so many different sampled sentences, and tells their labels by so much chi-square.
-LEAST_SENTENCES, LEAST_CHI, MOST_FEATURES = 4, 25.0, 50_000
+LEAST_SENTENCES, LEAST_CHI = 4, 25.0
 #: ... and the share of label 1 among its sentences lies so far from the overall share to 1.
 LEAST_LIFT = 0.25
-#: Words whose weight a worker remembers.
-MOST_WORDS = 200_000
 
 _SENTENCE = re.compile(rb"[.!?\n\r]+")
 _TO_WORDS = bytes(b if b >= 0x80 or chr(b).isalpha() and not 65 <= b <= 90 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -80,7 +78,7 @@ def shortened(text: bytes, most: int) -> bytes:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, label_id_col: str, sample: int) -> list[tuple[int, bytes]]:
-    """(label, text) of at most ``sample`` labelled documents; an id's labels that disagree leave it out."""
+    """(id, label, text) of at most ``sample`` labelled documents; an id's labels that disagree leave it out, of its texts the smallest counts."""
     known = labels.select(F.col(label_id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).filter("_id is not null and _label is not null")
     known = known.groupBy("_id").agg(F.min("_label").alias("_label"), F.max("_label").alias("_other")).filter("_label = _other").drop("_other")
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text")).filter("_text is not null")
@@ -97,12 +95,17 @@ def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
             texts = [shortened(text, most).decode() for text in utf8(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["_id", "_label", "_text"])
 
-    found = arrow(found, run, found.schema).dropDuplicates(["_id"])
+    found = arrow(found, run, found.schema).groupBy("_id").agg(F.min(F.struct("_label", "_text")).alias("_s")).select("_id", "_s.*")
     return sorted((r._id, r._label, r._text.encode()) for r in found.toLocalIterator())
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """A model of the documents that have a label. Without labels of both kinds every score is about their share."""
+    """A model of the documents that have a label.
+
+    Null texts and labels, null ids and ids whose labels disagree are left out; of the texts that share an id, the smallest
+    counts; ties of the sampling hash go by id. Without labels of both kinds, as in an empty table, every score is about
+    the share of label 1. Other columns are not read.
+    """
     return fit([(label, text) for _, label, text in sample_of(docs, labels, id_col, text_col, label_col, label_id_col, sample)])
 
 
@@ -146,7 +149,7 @@ def telling_features(rows: list[tuple[int, bytes]]) -> list[bytes]:
             chi = (hot.get(f, 0) - n * rate) ** 2 / (n * rate * (1 - rate) * (1 - n / (total + 1)))
             if chi >= LEAST_CHI:
                 found.append((-chi, f))
-    return [f for _, f in sorted(found)[:MOST_FEATURES]]
+    return [f for _, f in sorted(found)]
 
 
 def fit(rows: list[tuple[int, bytes]], epochs: int = 60, rate: float = 0.1, decay: float = 1e-4) -> Model:
@@ -200,35 +203,34 @@ def fit(rows: list[tuple[int, bytes]], epochs: int = 60, rate: float = 0.1, deca
     return Model({w: float(x) for w, x in zip(known, at, strict=False)}, float(at[-2]), float(np.logaddexp(0, at[-1])))
 
 
-class _WordWeights(dict):
-    def __init__(self, weights: dict[bytes, float]):
-        self.weights = weights
-
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        get = self.weights.get
-        value = self[word] = sum(get(f, 0.0) for f in features(word))
-        return value
+def place_of(text: bytes, sentence: int) -> tuple[int, int]:
+    """Where sentences(text)[sentence] begins and ends, in bytes."""
+    start = 0
+    for at, end in enumerate(_SENTENCE.finditer(text)):
+        if at == sentence:
+            return start, end.start()
+        start = end.end()
+    return start, len(text)
 
 
 class Scorer:
     def __init__(self, model: Model):
-        self.weight, self.bias, self.leak = _WordWeights(model.weights), model.bias, model.leak
+        get = model.weights.get
+        self.weight, self.bias, self.leak = Memo(lambda word: sum(get(f, 0.0) for f in features(word))), model.bias, model.leak
 
-    def bag(self, text: bytes) -> tuple[float, bytes, float]:
-        """The document's probability, its worst sentence and that one's probability."""
+    def bag(self, text: bytes) -> tuple[float, int | None, float]:
+        """The document's probability, the number of its worst sentence (the first of equals) and that one's probability."""
         from math import exp, expm1, log1p
 
-        weight, bias, total, worst, worst_z = self.weight, self.bias, self.leak, b"", None
-        for s in sentences(text):
+        weight, bias, total, worst, worst_z = self.weight, self.bias, self.leak, None, None
+        for at, s in enumerate(sentences(text)):
             if words := words_of(s):
                 told = sum(map(weight.__getitem__, {*words}))
                 if told:
                     z = bias + told
                     total += z if z > 30 else log1p(exp(z))
                     if worst_z is None or z > worst_z:
-                        worst, worst_z = s, z
+                        worst, worst_z = at, z
         return -expm1(-total), worst, 0.0 if worst_z is None else 1 / (1 + exp(-max(-50.0, min(50.0, worst_z))))
 
 
@@ -250,11 +252,10 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             scores, starts, ends, tops = [], [], [], []
             for text in utf8(batch.column(1)):
                 p, worst, top = scorer.bag(text)
-                at = text.find(worst) if worst else 0
-                start = len(text[:at].decode())
+                start, end = (0, 0) if worst is None else place_of(text, worst)
                 scores.append(p)
-                starts.append(start)
-                ends.append(start + len(worst.decode()))
+                starts.append(len(text[:start].decode()))
+                ends.append(starts[-1] + len(text[start:end].decode()))
                 tops.append(top)
             columns = [batch.column(0), pa.array(scores, pa.float64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(tops, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "worst_start", "worst_end", "worst_score"])
@@ -263,7 +264,11 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
 
 def clean(df: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """df without the documents that score ``threshold`` or more; all columns stay, and texts pass through once."""
+    """df without the documents that score ``threshold`` or more; all columns stay, and texts pass through once.
+
+    Null, empty and wordless texts score the leak alone. Rows that repeat stay or go together, null ids make no difference,
+    and an empty table stays empty.
+    """
     names = df.columns
     inner = df.toDF(*[f"c{k}" for k in range(len(names))])
     at = names.index(text_col)
