@@ -2,7 +2,7 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. ``run`` writes each
 stage's result as Parquet in the shared folder and reads it again as the next one's input, so a lost executor never
-reaches back over more than one stage. All but the last return the columns of documents.
+reaches back over more than one stage. All but the last return the columns of documents. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -24,26 +24,36 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.5. Labels are learnt from rows whose crc32(doc_id as text) mod 5 is not 0."""
+    """Documents that score under 0.5. Labels are learnt from rows whose crc32(doc_id as text) mod 5 is not 0.
+
+    Null and empty texts score what no sentence explains, as all do without labels; null ids teach nothing. Rows that
+    repeat stay or go together.
+    """
     model = toxicity.train(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0), _table(spark, sf_dir, "labels"))
     return toxicity.clean(docs, model)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, null being empty, the document of the smallest id; rows that repeat it whole stay with it."""
     return exact_dedup.deduplicate(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked documents the one of the smallest id; documents without words or without an id stay."""
     return near_dedup.deduplicate(docs, shingle=SHINGLE, threshold=THRESHOLD)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out of their documents; a document that is mostly benchmark goes."""
+    """Benchmark passages are cut out of their documents; a document that is mostly benchmark goes.
+
+    Null and empty texts, and all where the benchmark is empty, stay as they are.
+    """
     return decontamination.decontaminate(docs, _table(spark, sf_dir, "benchmark"), length_col="n_chars")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, vocabulary_path(TOKENIZER), END_ID, WINDOW_TOKENS)
+    """The pieces of all documents with their token ids; null and empty texts are the end id alone."""
+    return packing.pack(docs, vocabulary_path(TOKENIZER), END_ID, WINDOW_TOKENS, with_ids=True)
 
 
 STAGES = [
