@@ -52,3 +52,28 @@ def test_near_copies_of_a_large_family(spark, sf_dir):
     assert len(want) < 10
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.doc_id for r in P.without_near_copies(spark, docs, sf_dir).collect()} == want
+
+
+def test_stages_on_odd_and_empty_tables(spark, sf_dir, odd, empty, tmp_path):
+    """Nulls, blanks, repeats and clashing names pass each stage; so does nothing at all."""
+    odd = odd.withColumn("n_chars", F.length("text"))
+    for docs, folder in ((odd, "odd"), (empty.withColumn("n_chars", F.lit(0)), "empty")):
+        for name, stage in P.STAGES:
+            out = stage(spark, docs, sf_dir)
+            if name != "packing":
+                assert out.columns == docs.columns
+            out.write.parquet(str(tmp_path / folder / name))
+            out = spark.read.parquet(str(tmp_path / folder / name))
+            if folder == "empty":
+                assert out.isEmpty()
+            elif name != "packing":
+                assert out.count() > 0 and (name != "exact_dedup" or {r.doc_id for r in out.collect()} == {0, 2, 3, 5, 6})
+            else:
+                assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()}
+            docs = out
+
+
+def test_run_on_an_empty_table(spark, sf_dir, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert P.run(spark, str(tmp_path)).isEmpty()
