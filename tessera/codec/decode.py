@@ -64,7 +64,18 @@ def packed(kind: PixelType, r, g, b) -> np.ndarray:
 
 
 def decode_frame(data: bytes, options: DecodeOptions) -> Frame:
-    """Never raises for bad bytes. A scan that fails midway gives DECODE_ERROR with the whole MCUs before it; the rest is 0."""
+    """Never raises for bad bytes. A scan that fails midway gives DECODE_ERROR with the whole MCUs before it; the rest is 0.
+
+    A header that asks for far more blocks than its scan has bits gives DECODE_ERROR without pixels, an image whose
+    coefficients would take more than entropy.MOST_BYTES gives ERROR_MEMORY.
+    """
+    try:
+        return _decoded(data, options)
+    except MemoryError:
+        return Frame(Status.ERROR_MEMORY)
+
+
+def _decoded(data: bytes, options: DecodeOptions) -> Frame:
     try:
         header = parse(data)
         if options.thumbnail:
@@ -91,14 +102,14 @@ def decode_frame(data: bytes, options: DecodeOptions) -> Frame:
     coefs[whole:] = 0
     # Only blocks of MCUs inside the crop are transformed.
     ys, xs = slice(crop[1] // mh, last_row + 1), slice(crop[0] // mw, min(cx, -(-(crop[0] + crop[2]) // mw)))
-    coefs = coefs.reshape(cy, cx, coefs.shape[1], 64)[ys, xs]
+    coefs = coefs.reshape(last_row + 1, cx, *coefs.shape[1:])[ys, xs]
     ny, nx = coefs.shape[:2]
     luma, step = header.luma_blocks, 0 if shift == 1 else shift
     hs, vs = mw // 8, mh // 8
     precise = options.idct == "precise"
 
     def plane(first: int, n: int, table: int, h: int, v: int) -> np.ndarray:
-        own = coefs[:, :, first : first + n].reshape(-1, 64)
+        own = coefs[:, :, first : first + n].reshape(-1, coefs.shape[-1])
         return _plane(samples_of(own, np.array(header.quant[table]), step, precise).reshape(ny * nx, n, -1), nx, ny, h, v)
 
     y = plane(0, luma, header.components[0].quant, hs, vs)

@@ -10,6 +10,9 @@ from ..plans.options import Status
 from .header import Bad, Header
 from .tables import ZIGZAG_ARRAY, decode_table, skip_table
 
+#: Bytes of coefficients that one image may take; blocks that a header may ask for, per bit of its scan, and beside those.
+MOST_BYTES, MOST_BLOCKS_A_BIT, SPARE_BLOCKS = 512 << 20, 16, 1024
+
 _RESTART = re.compile(rb"\xff+[\xd0-\xd7]")
 _OTHER = re.compile(rb"\xff+[\x01-\xcf\xd8-\xfe]")
 
@@ -35,7 +38,7 @@ def segments(data: bytes, header: Header) -> list[bytes]:
 def decode_segment(data: bytes, header: Header, n_mcus: int, keep_chroma: bool = True, dc_only: bool = False) -> tuple[np.ndarray, int]:
     """(mcus, blocks, 64) coefficients in natural order with DC still as differences, and how many MCUs are whole.
 
-    With dc_only the AC codes are read but not stored. A segment that ends early, or a code that doesn't exist, ends the
+    With dc_only, and in progressive images, the DC alone is stored: (mcus, blocks, 1). A segment that ends early, or a code that doesn't exist, ends the
     decoding after the last whole MCU.
     """
     plan = []
@@ -45,7 +48,7 @@ def decode_segment(data: bytes, header: Header, n_mcus: int, keep_chroma: bool =
             ac = None if header.progressive else decode_table(*header.huff[1, c.ac])
             keep = c.index == 0 or keep_chroma
             plan.append((dc, ac, None if header.progressive or keep and not dc_only else skip_table(*header.huff[1, c.ac]), keep))
-    out = np.zeros((n_mcus, len(plan), 64), np.int32)
+    out = np.zeros((n_mcus, len(plan), _stored(header, dc_only)), np.int32)
     # 16 bits at every byte place, so that a code is one look-up; the padding reads as ones, as encoders pad.
     n_bits = 8 * len(data)
     padded = data + b"\xff" * 8
@@ -101,7 +104,7 @@ def decode_segment(data: bytes, header: Header, n_mcus: int, keep_chroma: bool =
                 k += symbol >> 4
                 if k > 63:
                     return out, m
-                if not skip:
+                if skip is None:
                     v = (window << used & 0xFFFFFFFFFFFF) >> (48 - size)
                     out[m, b, natural[k]] = v if v >= 1 << (size - 1) else v - (1 << size) + 1
                 k += 1
@@ -110,17 +113,32 @@ def decode_segment(data: bytes, header: Header, n_mcus: int, keep_chroma: bool =
     return out, n_mcus
 
 
+def _stored(header: Header, dc_only: bool) -> int:
+    return 1 if dc_only or header.progressive else 64
+
+
+def checked(header: Header, scan_bytes: int, n_mcus: int, dc_only: bool = False) -> None:
+    """Raises where a header asks for far more than its bytes can hold (a block takes a bit at least), or for too much."""
+    blocks = n_mcus * (header.luma_blocks + (2 if len(header.components) == 3 else 0))
+    if blocks > MOST_BLOCKS_A_BIT * 8 * scan_bytes + SPARE_BLOCKS:
+        raise Bad(Status.DECODE_ERROR, "the scan can't hold an image of this size")
+    if blocks * _stored(header, dc_only) * 4 > MOST_BYTES:
+        raise Bad(Status.ERROR_MEMORY, "an image of this size takes too much memory")
+
+
 def decode_scan(data: bytes, header: Header, keep_chroma: bool = True, dc_only: bool = False, last_mcu: int | None = None) -> tuple[np.ndarray, int]:
     """All segments' coefficients with DC predicted, and the number of leading MCUs that are whole. MCUs after last_mcu aren't read."""
     cx, cy = header.grid
     total = cx * cy
     wanted = total if last_mcu is None else min(total, last_mcu + 1)
+    checked(header, len(data) - header.scan_offset, wanted, dc_only)
     try:
         parts = segments(data, header)
-        out = np.zeros((total, header.luma_blocks + (2 if len(header.components) == 3 else 0), 64), np.int32)
+        # Rows of MCUs below the last wanted one have no place at all.
+        out = np.zeros((-(-wanted // cx) * cx, header.luma_blocks + (2 if len(header.components) == 3 else 0), _stored(header, dc_only)), np.int32)
         done, step = 0, header.restart_interval or total
         for k, first in enumerate(range(0, wanted, step)):
-            n = min(step, total - first)
+            n = min(step, len(out) - first)
             if k >= len(parts):
                 break
             found, whole = decode_segment(parts[k], header, n, keep_chroma, dc_only)

@@ -220,3 +220,17 @@ def parse(data: bytes) -> Header:
             header.scan_offset = end
             return header
         at = end
+
+
+def bare(data: bytes, end: int) -> bytes:
+    """The header up to ``end`` without its application and comment segments."""
+    out, at = [data[:2]], 2
+    while at + 4 <= end:
+        if data[at] != 0xFF or data[at + 1] == 0xFF:
+            at += 1
+            continue
+        after = at + 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+        if not (0xE0 <= data[at + 1] <= 0xEF or data[at + 1] == 0xFE):
+            out.append(data[at : min(after, end)])
+        at = after
+    return b"".join(out)

@@ -47,10 +47,11 @@ def _mapped(df: DataFrame, row, schema: str) -> DataFrame:
         for batch in batches:
             names, columns, out = batch.schema.names, [batch.column(k).to_pylist() for k in range(batch.num_columns)], []
             for values in zip(*columns, strict=True):
-                out += row(SimpleNamespace(**dict(zip(names, values, strict=True))))
-                while len(out) >= 4096:
-                    yield _batch(pa, out[:4096], arrow)
-                    del out[:4096]
+                for made in row(SimpleNamespace(**dict(zip(names, values, strict=True)))):
+                    out.append(made)
+                    if len(out) == 4096:
+                        yield _batch(pa, out, arrow)
+                        out = []
             yield _batch(pa, out, arrow)
 
     return df.mapInArrow(run, schema)
@@ -75,22 +76,27 @@ def image_info(images: DataFrame) -> DataFrame:
 def segments(images: DataFrame) -> DataFrame:
     """Restart intervals of images that can be decoded: ``image_id, segment_id, first_mcu, n_mcus, head, data``.
 
-    ``head`` is the file up to the scan: all that a task needs to decode a segment wherever it runs.
+    ``head`` is the file up to the scan without application data and comments: all that a task needs to decode a segment
+    wherever it runs.
     """
 
     def row(item):
+        from ..codec.entropy import checked
         from ..codec.entropy import segments as split
-        from ..codec.header import Bad, parse
+        from ..codec.header import Bad, bare, parse
 
         content = item.content
         try:
             h = parse(content)
+            cx, cy = h.grid
+            # A segment's task holds no more than the segment.
+            checked(h, len(content) - h.scan_offset, min(cx * cy, h.restart_interval or cx * cy))
         except Bad:
             return
-        cx, cy = h.grid
+        head = bare(content, h.scan_offset)
         step = h.restart_interval or cx * cy
         for k, (first, data) in enumerate(zip(range(0, cx * cy, step), split(content, h), strict=False)):
-            yield item.image_id, k, first, min(step, cx * cy - first), content[: h.scan_offset], data
+            yield item.image_id, k, first, min(step, cx * cy - first), head, data
 
     return _mapped(images.select("image_id", "content"), row, "image_id long, segment_id int, first_mcu int, n_mcus int, head binary, data binary")
 
@@ -104,12 +110,12 @@ def coef_blocks(parts: DataFrame) -> DataFrame:
 
         h = parse(bytes(item.head).ljust(256, b"\0"))
         found, whole = decode_segment(bytes(item.data), h, item.n_mcus)
-        cx, luma = h.grid[0], h.luma_blocks
+        cx, luma, none = h.grid[0], h.luma_blocks, [0] * (64 - found.shape[2])
         for m in range(whole):
             at = item.first_mcu + m
             for b in range(found.shape[1]):
                 c = max(0, b - luma + 1)
-                yield item.image_id, item.segment_id, at, at % cx, at // cx, c, b, h.components[c].quant, int(found[m, b, 0]), found[m, b].tolist()
+                yield item.image_id, item.segment_id, at, at % cx, at // cx, c, b, h.components[c].quant, int(found[m, b, 0]), found[m, b].tolist() + none
 
     schema = "image_id long, segment_id int, mcu_index int, mcu_x int, mcu_y int, component int, block_in_mcu int, quant_id int, dc_diff int, coefs array<int>"
     return _mapped(parts, row, schema)

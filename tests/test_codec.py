@@ -178,3 +178,42 @@ def test_every_inverted_header_byte():
             continue
         if header.width * header.height < 1 << 16:
             decode_frame(bytes(data), DecodeOptions())
+
+
+def claiming(data, wide, high):
+    at = next(k for k in range(len(data)) if data[k : k + 2] in (b"\xff\xc0", b"\xff\xc2"))
+    return data[: at + 5] + high.to_bytes(2, "big") + wide.to_bytes(2, "big") + data[at + 9 :]
+
+
+@pytest.mark.parametrize("progressive", [False, True])
+@pytest.mark.parametrize("size", [(65535, 65535), (20000, 20000), (65535, 8)])
+def test_small_files_cannot_ask_for_much(size, progressive):
+    """A status at each scale, and little memory on the way."""
+    import tracemalloc
+
+    small = claiming(image(0x22, 16, 16, progressive=progressive)[1], *size)
+    tracemalloc.start()
+    for scale in (1, 2, 4, 8):
+        frame = decode_frame(small, DecodeOptions(scale=scale))
+        assert frame.status is Status.DECODE_ERROR and (frame.pixels is None or frame.pixels.size < 1 << 21)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
+def test_too_large_for_memory(monkeypatch):
+    from tessera.codec import entropy
+
+    monkeypatch.setattr(entropy, "MOST_BYTES", 1000)
+    assert decode_frame(image(0x11)[1], DecodeOptions()).status is Status.ERROR_MEMORY
+
+
+def test_bare_headers_decode_alike():
+    from tessera.codec.header import bare
+
+    app1 = exif_segment("big", 6, encode(picture(1, 16, 16), 0x11), (16, 16))
+    _, data = image(0x21, app1=app1)
+    h = parse(data)
+    short = bare(data, h.scan_offset)
+    assert len(short) == h.scan_offset - len(app1) and b"Exif" not in short
+    again = parse((short + data[h.scan_offset :]).ljust(256, b"\0"))
+    assert again.scan_offset == len(short) and again.huff == h.huff and again.quant == h.quant and again.grid == h.grid
