@@ -572,3 +572,137 @@ def client_dither(spark, sf_dir):
     from ..operators.images import client_dither as run
 
     return _digested(run(_frames(spark, sf_dir, "tiles")), "levels")
+
+
+# ---- encoded images of flat blocks: their files are encoded and decoded here, while the twins state by arithmetic what must come out
+
+MOSAIC = """k AS (SELECT s_suppkey AS image_id, 9 + s_suppkey * 7 % 40 AS w, 6 + s_suppkey * 11 % 30 AS h, s_suppkey % 5 AS t, s_suppkey % 4 AS restart FROM supplier),
+ i AS (SELECT *, CASE WHEN t IN (3, 4) THEN 16 ELSE 8 END AS mw, CASE WHEN t IN (2, 4) THEN 16 ELSE 8 END AS mh FROM k),
+ g AS (SELECT *, (w + mw - 1) // mw AS cx, (h + mh - 1) // mh AS cy FROM i),
+ m AS (SELECT *, mcu % cx AS mx, mcu // cx AS my, CASE WHEN restart = 0 THEN 0 ELSE mcu // restart END AS segment FROM (SELECT *, unnest(range(cx * cy)) AS mcu FROM g)),
+ b AS (SELECT *, CASE WHEN c = 0 THEN (31 * image_id + least(mx * mw // 8 + n % (mw // 8), (w - 1) // 8) * 17 + least(my * mh // 8 + n // (mw // 8), (h - 1) // 8) * 23) % 256
+   ELSE (31 * image_id + 57 * c + mx * 17 + my * 23) % 256 END AS v
+   FROM (SELECT *, 0 AS c, unnest(range(mw * mh // 64)) AS n FROM m UNION ALL SELECT *, unnest([1, 2]) AS c, 0 AS n FROM m WHERE t > 0))"""
+
+
+def _mosaics(spark, sf_dir):
+    from ..sources.synthetic import mosaic, synthetic_images
+
+    return synthetic_images(spark, sf_dir, make=mosaic)
+
+
+def _mosaic(spark, sf_dir, output: str = "frames", **options):
+    from .decode import decode
+    from .options import DecodeOptions
+
+    return decode(_mosaics(spark, sf_dir), DecodeOptions(**options), output)
+
+
+@query(f"""WITH {MOSAIC} SELECT image_id, 'SUCCESS' AS status, 0 AS error_code, CAST(w AS INTEGER) AS width, CAST(h AS INTEGER) AS height, CASE WHEN t = 0 THEN 8 ELSE 24 END AS bpp,
+ CASE t WHEN 0 THEN 0 WHEN 1 THEN 17 WHEN 2 THEN 18 WHEN 3 THEN 33 ELSE 34 END AS subsample, 'BASELINE' AS mode, CASE WHEN t = 0 THEN 1 ELSE 3 END AS num_components,
+ CAST(CASE WHEN image_id % 3 = 1 THEN 1 + image_id % 8 ELSE 0 END AS INTEGER) AS orientation, false AS has_thumb, CAST(restart AS INTEGER) AS restart_interval FROM g""")
+def mosaic_info(spark, sf_dir):
+    names = ("image_id", "status", "error_code", "width", "height", "bpp", "subsample", "mode", "num_components", "orientation", "has_thumb", "restart_interval")
+    return _mosaic(spark, sf_dir, "info").select(*names)
+
+
+@query(f"""WITH {MOSAIC} SELECT image_id, CAST(segment AS INTEGER) AS segment_id, CAST(min(mcu) AS INTEGER) AS first_mcu, CAST(count(*) AS INTEGER) AS n_mcus FROM m GROUP BY image_id, segment""")
+def mosaic_segments(spark, sf_dir):
+    from ..operators.images import segments
+
+    return segments(_mosaics(spark, sf_dir)).select("image_id", "segment_id", "first_mcu", "n_mcus")
+
+
+@query(f"""WITH {MOSAIC} SELECT image_id, CAST(segment AS INTEGER) AS segment_id, CAST(mcu AS INTEGER) AS mcu_index, CAST(c AS INTEGER) AS component, CAST(CASE WHEN c = 0 THEN n ELSE mw * mh // 64 + c - 1 END AS INTEGER) AS block_in_mcu,
+ CAST(8 * (v - coalesce(lag(v) OVER (PARTITION BY image_id, segment, c ORDER BY mcu, n), 128)) AS INTEGER) AS dc_diff, repeat(',0', 63) AS ac FROM b""")
+def mosaic_blocks(spark, sf_dir):
+    """Entropy-decoded blocks: differences of DC, and no AC at all."""
+    ac = F.concat(F.lit(","), F.array_join(F.slice("coefs", 2, 63), ","))
+    return _mosaic(spark, sf_dir, "blocks").select("image_id", "segment_id", "mcu_index", "component", "block_in_mcu", "dc_diff", ac.alias("ac"))
+
+
+@query(f"""WITH {MOSAIC} SELECT image_id, CAST(mcu AS INTEGER) AS mcu_index, CAST(c AS INTEGER) AS component, CAST(CASE WHEN c = 0 THEN n ELSE mw * mh // 64 + c - 1 END AS INTEGER) AS block_in_mcu, repeat(v || ',', 64) AS samples FROM b""")
+def mosaic_samples(spark, sf_dir):
+    """Blocks with DC predicted over their segment, dequantized and transformed."""
+    return _mosaic(spark, sf_dir, "samples").select("image_id", "mcu_index", "component", "block_in_mcu", F.concat(F.array_join("samples", ","), F.lit(",")).alias("samples"))
+
+
+_LE565 = "printf('%02X%02X', ((g & 28) << 3) | (b >> 3), (r & 248) | (g >> 5))"
+
+
+def _mosaic_sql(shift: int = 0, pixel: str = _LE565, kind: str = "RGB565_LE") -> str:
+    """Frames in hexadecimal: the pixel at (x, y) is that of the blocks there, at any scale."""
+    return f"""WITH {MOSAIC}, s AS (SELECT *, (w + {(1 << shift) - 1}) >> {shift} AS sw, (h + {(1 << shift) - 1}) >> {shift} AS sh FROM g),
+ p AS (SELECT *, (31 * image_id + (x << {shift}) // 8 * 17 + (y << {shift}) // 8 * 23) % 256 AS lum,
+  CASE WHEN t = 0 THEN 0 ELSE (31 * image_id + 57 + (x << {shift}) // mw * 17 + (y << {shift}) // mh * 23) % 256 - 128 END AS cb,
+  CASE WHEN t = 0 THEN 0 ELSE (31 * image_id + 114 + (x << {shift}) // mw * 17 + (y << {shift}) // mh * 23) % 256 - 128 END AS cr
+  FROM (SELECT *, unnest(range(sw)) AS x FROM (SELECT *, unnest(range(sh)) AS y FROM s))),
+ q AS (SELECT *, CAST(greatest(0, least(255, floor((4096 * lum + 5742 * cr) / 4096.0))) AS BIGINT) AS r, CAST(greatest(0, least(255, floor((4096 * lum - 1409 * cb - 2925 * cr) / 4096.0))) AS BIGINT) AS g,
+  CAST(greatest(0, least(255, floor((4096 * lum + 7258 * cb) / 4096.0))) AS BIGINT) AS b FROM p)
+ SELECT image_id, 'SUCCESS' AS status, 0 AS error_code, CAST(max(sw) AS INTEGER) AS width, CAST(max(sh) AS INTEGER) AS height, '{kind}' AS pixel_type, string_agg({pixel}, '' ORDER BY y, x) AS data FROM q GROUP BY image_id"""
+
+
+def _mosaic_frames(spark, sf_dir, **options):
+    return _mosaic(spark, sf_dir, **options).withColumn("data", F.hex("data"))
+
+
+@query(_mosaic_sql())
+def mosaic_full(spark, sf_dir):
+    return _mosaic_frames(spark, sf_dir)
+
+
+@query(_mosaic_sql(pixel="printf('%02X%02X', (r & 248) | (g >> 5), ((g & 28) << 3) | (b >> 3))", kind="RGB565_BE"))
+def mosaic_big_endian(spark, sf_dir):
+    from .options import PixelType
+
+    return _mosaic_frames(spark, sf_dir, pixel_type=PixelType.RGB565_BE)
+
+
+@query(_mosaic_sql(pixel="printf('%02X%02X%02XFF', r, g, b)", kind="RGB8888"))
+def mosaic_rgba(spark, sf_dir):
+    from .options import PixelType
+
+    return _mosaic_frames(spark, sf_dir, pixel_type=PixelType.RGB8888)
+
+
+@query(_mosaic_sql(0, "printf('%02X', lum)", "GRAY8"))
+def mosaic_gray_full(spark, sf_dir):
+    from .options import PixelType
+
+    return _mosaic_frames(spark, sf_dir, pixel_type=PixelType.GRAY8, scale=1)
+
+
+@query(_mosaic_sql(1, "printf('%02X', lum)", "GRAY8"))
+def mosaic_gray_half(spark, sf_dir):
+    from .options import PixelType
+
+    return _mosaic_frames(spark, sf_dir, pixel_type=PixelType.GRAY8, scale=2)
+
+
+@query(_mosaic_sql(2, "printf('%02X', lum)", "GRAY8"))
+def mosaic_gray_quarter(spark, sf_dir):
+    from .options import PixelType
+
+    return _mosaic_frames(spark, sf_dir, pixel_type=PixelType.GRAY8, scale=4)
+
+
+@query(_mosaic_sql(3, "printf('%02X', lum)", "GRAY8"))
+def mosaic_gray_eighth(spark, sf_dir):
+    from .options import PixelType
+
+    return _mosaic_frames(spark, sf_dir, pixel_type=PixelType.GRAY8, scale=8)
+
+
+@query(_mosaic_sql(1))
+def mosaic_half(spark, sf_dir):
+    return _mosaic_frames(spark, sf_dir, scale=2)
+
+
+@query(_mosaic_sql(2))
+def mosaic_quarter(spark, sf_dir):
+    return _mosaic_frames(spark, sf_dir, scale=4)
+
+
+@query(_mosaic_sql(3))
+def mosaic_eighth(spark, sf_dir):
+    return _mosaic_frames(spark, sf_dir, scale=8)

@@ -26,13 +26,32 @@ def encoded(key: int) -> bytes:
     return data[: len(data) * 2 // 3] if key % 16 == 15 else data
 
 
-def synthetic_images(spark: SparkSession, sf_dir: str, name: str = "supplier", key: str = "s_suppkey") -> DataFrame:
+def mosaic(key: int) -> bytes:
+    """An image of flat blocks: whatever it decodes to follows from its key by arithmetic.
+
+    Value of component c in its block (x, y): (31 key + 57 c + 17 x + 23 y) mod 256, luma blocks being 8 x 8 pixels and
+    chroma blocks an MCU. The quantization step of a DC is 1, so values come back exactly.
+    """
+    import numpy as np
+
+    from ..codec.encoder import encode, exif_segment
+
+    sub = (0x00, 0x11, 0x12, 0x21, 0x22)[key % 5]
+    wide, high = 9 + key * 7 % 40, 6 + key * 11 % 30
+    y, x = np.mgrid[0:high, 0:wide]
+    value = lambda c, w, h: ((31 * key + 57 * c + x // w * 17 + y // h * 23) % 256).astype(np.uint8)
+    mcu = 16 if sub in (0x21, 0x22) else 8, 16 if sub in (0x12, 0x22) else 8
+    planes = [value(0, 8, 8), *([value(c, *mcu) for c in (1, 2)] if sub else [])]
+    return encode(planes, sub, 97, key % 4, False, exif_segment("little" if key % 2 else "big", 1 + key % 8, None) if key % 3 == 1 else b"")
+
+
+def synthetic_images(spark: SparkSession, sf_dir: str, name: str = "supplier", key: str = "s_suppkey", make=encoded) -> DataFrame:
     """``image_id, content``, one image per row of the table."""
     ship(spark)
 
     def run(frames):
         for frame in frames:
-            yield pd.DataFrame({"image_id": frame["image_id"], "content": [encoded(k) for k in frame["image_id"]]})
+            yield pd.DataFrame({"image_id": frame["image_id"], "content": [make(k) for k in frame["image_id"]]})
 
     keys = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.col(key).alias("image_id"))
     return keys.repartition(spark.sparkContext.defaultParallelism, "image_id").mapInPandas(run, "image_id long, content binary")
