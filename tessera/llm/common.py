@@ -70,10 +70,10 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, weight: str, cols:
 
 
 class Memo(dict):
-    """Word -> what ``make`` gives for it; forgets all beyond MEMO_BYTES, and never keeps words beyond LONGEST_WORD."""
+    """Word -> what ``make`` gives for it; forgets all beyond ``size`` bytes, and never keeps words beyond LONGEST_WORD."""
 
-    def __init__(self, make):
-        self.make, self.room = make, MEMO_BYTES
+    def __init__(self, make, size: int = MEMO_BYTES):
+        self.make, self.size, self.room = make, size, size
 
     def __missing__(self, word):
         value = self.make(word)
@@ -82,7 +82,7 @@ class Memo(dict):
             self.room -= 200 + len(word) + (len(value) if isinstance(value, bytes) else 0)
             if self.room < 0:
                 self.clear()
-                self.room = MEMO_BYTES
+                self.room = self.size
             self[word] = value
         return value
 

@@ -20,6 +20,9 @@ from collections import Counter
 
 from .common import Memo, held, stretches
 
+#: Bytes of remembered pre-tokens, about; a task uses one of the two tables. What is forgotten costs the library's time again.
+PRE_TOKEN_BYTES = 64 << 20
+
 _SPACED = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 #: White space beyond [\x20\x09-\x0D], by the Unicode property and by Python's isspace().
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -59,7 +62,7 @@ class Pieces:
         self.code = {2: "H", 4: "I"}[width]
         self.spaced = spec.get("normalizer") is None
         self.model = self.tokenizer.model
-        self._ids, self._counts = Memo(self._encode), Memo(self._count)
+        self._ids, self._counts = Memo(self._encode, PRE_TOKEN_BYTES), Memo(self._count, PRE_TOKEN_BYTES)
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
