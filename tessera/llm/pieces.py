@@ -21,7 +21,7 @@ from collections import Counter
 from .common import Memo, held, stretches
 
 #: Bytes of remembered pre-tokens, about; a task uses one of the two tables. What is forgotten costs the library's time again.
-PRE_TOKEN_BYTES = 64 << 20
+PRE_TOKEN_BYTES = 96 << 20
 
 _SPACED = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 #: White space beyond [\x20\x09-\x0D], by the Unicode property and by Python's isspace().
