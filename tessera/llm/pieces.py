@@ -5,8 +5,9 @@ character reach across; what stands between two cuts is encoded by the library o
 of vocabulary:
 
 * ``words``: white space makes no token, so the pre-tokens are the words themselves;
-* ``spaced``: white space belongs to the word after it, so a pre-token is a run of white space and the word after it.
-  Such a text is encoded whole where it has other Unicode white space, which can join an ASCII run.
+* ``spaced``: white space belongs to the word after it, so a pre-token is a run of white space and the word after it;
+  punctuation after plain letters, where the library begins anew as well, is a pre-token of its own. Such a text is
+  encoded whole where it has other Unicode white space, which can join an ASCII run.
 """
 
 from __future__ import annotations
@@ -23,13 +24,18 @@ from .common import Memo, held, stretches
 #: Bytes of remembered pre-tokens, about; a task uses one of the two tables. What is forgotten costs the library's time again.
 PRE_TOKEN_BYTES = 96 << 20
 
-_SPACED = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 #: White space beyond [\x20\x09-\x0D], by the Unicode property and by Python's isspace().
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 #: What may follow a word and makes one pre-token of its own: ASCII punctuation but the apostrophe, which begins contractions.
 PUNCTUATION = string.punctuation.replace("'", "")
 
+#: A run of letters, with the one space before it, is a pre-token of its own where PUNCTUATION, white space or nothing follows.
+_SPACED = re.compile(
+    rf" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]++(?=[\x20\x09-\x0D{re.escape(PUNCTUATION)}]|\Z)"
+    r"|[\x20\x09-\x0D]*+[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+)
+
 
 def _spelled() -> list[str]:
     """The character that stands for each byte: itself if it is printable, else the next free one from U+0100."""
@@ -77,6 +83,8 @@ class Pieces:
             text, lead = key, 1 if key[0] == " " else 0
         else:
             text, lead = key.decode().lower() if key.isascii() else key.decode(), 0
+        if self.spaced and text[lead:].isalpha() and text.isascii():
+            return "\u0120" + text[1:] if lead else text
         core = text[lead:].rstrip(PUNCTUATION)
         if core.isalpha() and (core.isascii() or max(core) <= "\xff"):
             end = lead + len(core)
