@@ -15,6 +15,8 @@ from tessera.llm.common import new_folder
 from tessera.llm.pieces import vocabulary_path
 
 TOKENIZER, END_ID, WINDOW_TOKENS = "byte_bpe_50k.json", 1, 2048
+#: Bytes of pre-tokens that a worker of packing remembers: few, beside what earlier stages left in their executors' memory.
+REMEMBERED = 24 << 20
 #: Words and hundredths of similarity of the near-duplicate stage.
 SHINGLE, THRESHOLD = 5, (80, 100)
 
@@ -53,7 +55,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their token ids; null and empty texts are the end id alone."""
-    return packing.pack(docs, vocabulary_path(TOKENIZER), END_ID, WINDOW_TOKENS, with_ids=True)
+    return packing.pack(docs, vocabulary_path(TOKENIZER), END_ID, WINDOW_TOKENS, with_ids=True, remember=REMEMBERED)
 
 
 STAGES = [

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .common import arrow, cut, in_slices, text_of, utf8
-from .pieces import pieces
+from .pieces import PRE_TOKEN_BYTES, pieces
 
 #: Pieces in a group, on average; groups whose first sequence numbers are broadcast (16 bytes each), at most.
 GROUP_PIECES, MOST_BASES = 8192, 500_000
@@ -72,7 +72,7 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return places, offsets
 
 
-def cut_into_pieces(df: DataFrame, tokenizer_path: str, end_id: int, window: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def cut_into_pieces(df: DataFrame, tokenizer_path: str, end_id: int, window: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, remember: int = PRE_TOKEN_BYTES) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens`` and, if asked for, ``ids``: full windows of a document and its rest."""
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -80,7 +80,7 @@ def cut_into_pieces(df: DataFrame, tokenizer_path: str, end_id: int, window: int
         import numpy as np
         import pyarrow as pa
 
-        known, end = pieces(tokenizer_path, 4), end_id.to_bytes(4, "little")
+        known, end = pieces(tokenizer_path, 4, remember), end_id.to_bytes(4, "little")
         width = 4
         for batch in in_slices(batches):
             row, starts, sizes, crcs, totals, ids = [], [], [], [], [], []
@@ -104,21 +104,21 @@ def cut_into_pieces(df: DataFrame, tokenizer_path: str, end_id: int, window: int
             yield pa.RecordBatch.from_arrays(columns, names + ["ids"] * with_ids)
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return arrow(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, schema, keep=(tokenizer_path, 4))
+    return arrow(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, schema, keep=(tokenizer_path, 4, remember))
 
 
-def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES, with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES, with_ids: bool = False, remember: int = PRE_TOKEN_BYTES) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens`` (and ``ids``).
 
     ``start``: ids of its document before the piece; ``offset``: its place in its sequence. Sequences are numbered from
     0 without gaps and hold ``sequence_tokens`` ids, at most ``window``. Null and empty texts are documents of the end
     id alone. Null ids, and rows that repeat one, are packed like any others; pieces of one length go by id, then by their
-    place and checksum. An empty table gives no rows. Other columns are not read.
+    place and checksum. An empty table gives no rows. Other columns are not read. ``remember``: bytes of pre-tokens that a worker remembers.
     """
     # Texts have a token per 2 bytes at most, nearly always; where they have more, groups are twice as large at most.
     size = df.select((1 + F.octet_length(text_of(F.col(text_col).cast("string"))) / (2 * window)).cast("long").alias("n")).agg(F.sum("n")).first()[0]
     groups = max(1, -(-(size or 0) // group_pieces))
-    found = cut_into_pieces(df, tokenizer_path, end_id, window, id_col, text_col, with_ids)
+    found = cut_into_pieces(df, tokenizer_path, end_id, window, id_col, text_col, with_ids, remember)
     dealt = found.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32"), F.lit(groups)))
 
     def place(table):

@@ -54,9 +54,9 @@ def vocabulary_path(name: str) -> str:
 
 
 class Pieces:
-    """A tokenizer file's ids and counts; ``width``: bytes an id takes (2 or 4)."""
+    """A tokenizer file's ids and counts; ``width``: bytes an id takes (2 or 4); ``remember``: bytes of pre-tokens."""
 
-    def __init__(self, path: str, width: int = 4):
+    def __init__(self, path: str, width: int = 4, remember: int = PRE_TOKEN_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -68,7 +68,7 @@ class Pieces:
         self.code = {2: "H", 4: "I"}[width]
         self.spaced = spec.get("normalizer") is None
         self.model = self.tokenizer.model
-        self._ids, self._counts = Memo(self._encode, PRE_TOKEN_BYTES), Memo(self._count, PRE_TOKEN_BYTES)
+        self._ids, self._counts = Memo(self._encode, remember), Memo(self._count, remember)
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -142,9 +142,9 @@ class Pieces:
         return sum(n * pieces[word] for word, n in Counter(found).items())
 
 
-def pieces(path: str, width: int = 4) -> Pieces:
-    """A worker keeps what it has loaded, and what it remembers, for tasks of arrow(..., keep=(path, width))."""
-    return held((path, width), lambda: Pieces(path, width))
+def pieces(path: str, width: int = 4, remember: int = PRE_TOKEN_BYTES) -> Pieces:
+    """A worker keeps what it has loaded, and what it remembers, for tasks of arrow(..., keep=(path, width, remember))."""
+    return held((path, width, remember), lambda: Pieces(path, width, remember))
 
 
 def id_width(path: str, *more_ids: int) -> int:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow, in_slices, utf8
-from .pieces import pieces
+from .pieces import PRE_TOKEN_BYTES, pieces
 
 
 def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,4 +32,4 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
             texts = utf8(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(known.count, texts), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    return arrow(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, f"doc_id {kind}, n_bytes long, n_tokens long", keep=(tokenizer_path, 4))
+    return arrow(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, f"doc_id {kind}, n_bytes long, n_tokens long", keep=(tokenizer_path, 4, PRE_TOKEN_BYTES))

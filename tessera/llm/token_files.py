@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .common import arrow, in_slices, utf8
-from .pieces import id_width, pieces
+from .pieces import PRE_TOKEN_BYTES, id_width, pieces
 
 #: What stands for a null document id in a .doc file.
 NULL_ID = -(1 << 63)
@@ -72,7 +72,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
 
     store, path = _at(folder)
     store.create_dir(path, recursive=True)
-    parts = sorted(arrow(docs, write, "part long, name string, docs long, ids long", keep=(tokenizer_path, width)).collect())
+    parts = sorted(arrow(docs, write, "part long, name string, docs long, ids long", keep=(tokenizer_path, width, PRE_TOKEN_BYTES)).collect())
     bases = [0, *accumulate(p.ids for p in parts)]
     manifest = {"width": width, "n_docs": sum(p.docs for p in parts), "n_ids": bases[-1], "parts": [{"name": p.name, "docs": p.docs, "ids": p.ids, "base": b} for p, b in zip(parts, bases[:-1], strict=True)]}
     with store.open_output_stream(f"{path}/manifest.json") as out:
