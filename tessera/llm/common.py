@@ -18,6 +18,8 @@ HOT_KEYS = 1000
 BATCH_BYTES = 8 << 20
 #: Bytes of what a worker remembers of single words, about, and the longest word that it remembers.
 MEMO_BYTES, LONGEST_WORD = 24 << 20, 64
+#: Bytes of rows that a task of cut_to_few() reads, about.
+PART_BYTES = 8 << 20
 
 _HELD: dict = {}
 
@@ -51,6 +53,21 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def cut_to_few(df: DataFrame) -> DataFrame:
+    """cut(), read again in as few partitions as its bytes need, but in two for each core.
+
+    Only partitions as they are read become one; how a shuffle deals its rows stays. The driver keeps a few KB for each
+    task, so small tables that many steps read again shouldn't have a task for each of many small partitions.
+    """
+    out = cut(df)
+    rdd = out._jdf.queryExecution().logical().rdd()
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+    conf = df.sparkSession._jsc.hadoopConfiguration()
+    size = path.getFileSystem(conf).getContentSummary(path).getLength()
+    few = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    return out.coalesce(few) if few < rdd.getNumPartitions() else out
+
+
 def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

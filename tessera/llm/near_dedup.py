@@ -7,7 +7,8 @@
 3. A bucket's members are compared with its centres only: three members, drawn by hashes that differ from bucket to
    bucket. So pairs grow with the members, not with their square, and a member meets other centres in other bands.
 4. Every member's most promising pair is verified on the full sets; what is connected then needs no further pairs;
-   all others are verified. Components follow from the confirmed links by hooking and pointer jumping.
+   all others are verified. Components follow from the confirmed links by hooking and pointer jumping; of few links, on
+   the driver.
 5. Where the members of a bucket that were no centres then lie in several components, those of different ones are all
    compared, in blocks of bounded size. So each pair with a common bucket is compared or lies in one component.
 
@@ -22,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import Memo, arrow, cut, in_slices, join_skewed, stretches, utf8
+from .common import Memo, arrow, cut_to_few, in_slices, join_skewed, stretches, utf8
 
 #: A pair at the threshold is in no common bucket with this probability at most; bins a signature has at most.
 MISS, MOST_BINS = 1e-6, 160
 #: Members of a block, about, and their shingles: two blocks meet in one task.
 BLOCK, BLOCK_SHINGLES = 128, 500_000
+#: Components of so many edges at most, each counted in both directions, are found on the driver: about 1 MB of numbers.
+FEW_EDGES = 50_000
 
 _ODD = 0x9E3779B97F4A7C15
 _MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)  # fixed values: the multipliers of a public 64-bit finaliser
@@ -158,7 +161,7 @@ def bucket_members(reps: DataFrame) -> DataFrame:
     members = reps.select("rep", F.explode("buckets").alias("bucket"))
     first, second = F.xxhash64("bucket", "rep"), F.xxhash64("rep", "bucket", F.lit(1))
     stars = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("rep", first).alias("c1"), F.min_by("rep", second).alias("c2"), F.max_by("rep", first).alias("c3"))
-    stars = cut(stars.filter("n > 1"))
+    stars = cut_to_few(stars.filter("n > 1"))
     return join_skewed(members, stars, "bucket", "n", ["n", "c1", "c2", "c3"], F.col("rep")).select("bucket", "rep", "n", "c1", "c2", "c3").filter("c1 is not null")
 
 
@@ -182,15 +185,34 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> D
     return both.filter(common * below >= union * above).select("member", "centre")
 
 
+def components_of_few(rows: list) -> list[tuple]:
+    """(node, the smallest node of its component) for all nodes of (a, b) rows."""
+    root: dict = {}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in rows:
+        a, b = find(root.setdefault(a, a)), find(root.setdefault(b, b))
+        root[max(a, b)] = min(a, b)
+    return [(x, find(x)) for x in root]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``node, component`` (its smallest node) for all nodes of ``a, b`` edges; nothing is gathered in one place."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
+    """``node, component`` (its smallest node) for all nodes of ``a, b`` edges; of more than FEW_EDGES nothing is gathered in one place."""
+    both = cut_to_few(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
+    if both.count() <= FEW_EDGES:
+        kind = both.schema["a"].dataType.simpleString()
+        return both.sparkSession.createDataFrame(components_of_few(both.filter("a <= b").collect()), f"node {kind}, component {kind}")
+    labels = cut_to_few(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        told = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("old"))
+        own = labels.select("node", "label", F.col("label").alias("old"))
+        hooked = told.union(own).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         target = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        jumped = cut(hooked.join(target, "label").select("node", "old", F.least("label", "beyond").alias("label")))
+        jumped = cut_to_few(hooked.join(target, "label").select("node", "old", F.least("label", "beyond").alias("label")))
         labels = jumped.select("node", "label")
         if jumped.filter("label < old").isEmpty():
             return labels.withColumnRenamed("label", "component")
@@ -222,7 +244,7 @@ def open_members(members: DataFrame, of: DataFrame, sets: DataFrame) -> DataFram
     sizes = sets.select(F.col("doc").alias("rep"), F.size("set").alias("_size")).groupBy("rep").agg(F.max("_size").alias("size"))
     rest = members.filter("n > 3 and rep <> c1 and rep <> c2 and rep <> c3").select("bucket", "rep")
     rest = rest.join(of.toDF("rep", "_component"), "rep", "left").join(sizes, "rep").select("bucket", "rep", "size", F.coalesce("_component", "rep").alias("label"))
-    rest = cut(rest)
+    rest = cut_to_few(rest)
     parts = rest.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
     whole = parts.groupBy("bucket").agg(
         F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"),
@@ -234,7 +256,7 @@ def open_members(members: DataFrame, of: DataFrame, sets: DataFrame) -> DataFram
         return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
 
     whole = whole.select("bucket", "n", F.col("main.label").alias("main"), blocks(F.col("main.n"), F.col("main.size")).alias("inner"), blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("outer"))
-    placed = join_skewed(rest, cut(whole), "bucket", "n", ["main", "inner", "outer"], F.col("rep")).filter("outer is not null")
+    placed = join_skewed(rest, cut_to_few(whole), "bucket", "n", ["main", "inner", "outer"], F.col("rep")).filter("outer is not null")
     draw = F.xxhash64("rep", F.lit(2))
     within = F.col("label") == F.col("main")
     placed = placed.withColumn("block", F.when(within, F.col("outer") + F.pmod(draw, F.col("inner"))).otherwise(F.pmod(draw, F.col("outer"))).cast("int"))
@@ -308,35 +330,35 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     component each. A null id takes its component from its copies and links to nothing else. An empty table gives no
     rows. Other columns are not read.
     """
-    sig = cut(signatures(df, id_col, text_col, shingle, threshold[0] / threshold[1]))
+    sig = cut_to_few(signatures(df, id_col, text_col, shingle, threshold[0] / threshold[1]))
     classes = sig.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     # The node of a class is a number of its own, for an id may stand for several; the cut keeps it.
-    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
+    classes = cut_to_few(classes.withColumn("rep", F.monotonically_increasing_id()))
     heads = classes.filter("least is not null").select(F.col("key").alias("_key"), "least", "rep")
     first = sig.filter(F.size("buckets") > 0).join(heads, (F.col("key") == F.col("_key")) & (F.col("doc_id") == F.col("least")))
-    reps = cut(first.dropDuplicates(["key", "doc_id"]).select("rep", "buckets", "key", "doc_id", "digest"))
-    members = cut(bucket_members(reps))
-    pairs = cut(candidate_pairs(members))
+    reps = cut_to_few(first.dropDuplicates(["key", "doc_id"]).select("rep", "buckets", "key", "doc_id", "digest"))
+    members = cut_to_few(bucket_members(reps))
+    pairs = cut_to_few(candidate_pairs(members))
     needed = pairs.select(F.explode(F.array("member", "centre")).alias("doc")).distinct()
     needed = needed.join(reps.select(F.col("rep").alias("doc"), "key", F.col("doc_id").alias("_need"), F.col("digest").alias("_digest")), "doc")
     text = F.col(text_col).cast("string")
     texts = df.select(F.col(id_col).alias("_doc"), text.alias("text"), F.xxhash64(text).alias("_own")).join(needed, (F.col("_doc") == F.col("_need")) & (F.col("_own") == F.col("_digest")))
-    sets = cut(shingle_sets(texts, shingle))
+    sets = cut_to_few(shingle_sets(texts, shingle))
     best = pairs.groupBy("member").agg(F.max_by("centre", F.struct("shared", F.xxhash64("member", "centre"))).alias("centre"))
-    links = cut(verified(best, sets, threshold))
+    links = cut_to_few(verified(best, sets, threshold))
     found = connected_components(links.toDF("a", "b"))
-    rest = cut(_merged(pairs.select("member", "centre"), found))
+    rest = cut_to_few(_merged(pairs.select("member", "centre"), found))
     more = verified(rest, sets, threshold).join(rest, ["member", "centre"]).select("a", "b")
     outer = connected_components(more)
-    of = cut(_carried(found, outer))
-    cells = cut(open_members(members, of, sets))
+    of = cut_to_few(_carried(found, outer))
+    cells = cut_to_few(open_members(members, of, sets))
     if not cells.isEmpty():
-        last = cut(block_links(cells, sets, threshold))
+        last = cut_to_few(block_links(cells, sets, threshold))
         of = _carried(of, connected_components(last))
-    of = cut(classes.join(of, F.col("rep") == F.col("node"), "left").select("key", "copies", "least", F.coalesce("component", "rep").alias("component")))
+    of = cut_to_few(classes.join(of, F.col("rep") == F.col("node"), "left").select("key", "copies", "least", F.coalesce("component", "rep").alias("component")))
     # join_skewed() reads its second table twice, so what makes that table is computed before.
-    smallest = cut(of.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")))
-    named = cut(join_skewed(of, smallest, "component", "classes", ["component_id"], F.col("key")).select("key", "copies", "component_id"))
+    smallest = cut_to_few(of.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")))
+    named = cut_to_few(join_skewed(of, smallest, "component", "classes", ["component_id"], F.col("key")).select("key", "copies", "component_id"))
     out = join_skewed(sig.select("doc_id", "n_shingles", "key"), named, "key", "copies", ["component_id"], F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow, cut, in_slices, utf8
+from .common import Memo, arrow, cut, in_slices, release, utf8
 
 #: Labelled documents a model is fitted on, at most; bytes of their texts, at most: on average, and of one.
 SAMPLE, MEAN_SAMPLE, MOST_SAMPLE = 5000, 20_000, 1_000_000
@@ -106,7 +106,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts; ties of the sampling hash go by id. Without labels of both kinds, as in an empty table, every score is about
     the share of label 1. Other columns are not read.
     """
-    return fit([(label, text) for _, label, text in sample_of(docs, labels, id_col, text_col, label_col, label_id_col, sample)])
+    model = fit([(label, text) for _, label, text in sample_of(docs, labels, id_col, text_col, label_col, label_id_col, sample)])
+    release()
+    return model
 
 
 def features(word: bytes) -> list[bytes]:

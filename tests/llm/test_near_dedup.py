@@ -146,3 +146,35 @@ def test_links_within_template_groups(spark):
     want.sort(key=repr)
     assert len({c for _, _, c in want}) == 40 * (120 - 3)
     assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shingle=1, threshold=(85, 100)) == want
+
+
+def test_components_of_many_edges(spark, monkeypatch):
+    """What the driver finds of few edges, rounds of joins find too."""
+    draw = random.Random(5)
+    rows = [(k + 1, k) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(draw.randrange(200, 260), draw.randrange(200, 260)) for _ in range(50)]
+    edges = spark.createDataFrame(rows, "a long, b long").repartition(3)
+    few = sorted(map(tuple, N.connected_components(edges).collect()))
+    monkeypatch.setattr(N, "FEW_EDGES", 0)
+    assert sorted(map(tuple, N.connected_components(edges).collect())) == few
+    assert {c for n, c in few if n <= 40} == {0} and {c for n, c in few if 100 <= n < 140} == {100}
+    assert N.connected_components(edges.limit(0)).isEmpty()
+
+
+def test_small_tables_take_few_tasks(spark):
+    """With many shuffle partitions, few rows don't take many tasks: the driver remembers each of them."""
+    rows, held = family(60, 6), {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few-tasks", "")
+        assert got(df, shingle=3, threshold=(85, 100)) == brute(rows, 3, (85, 100))
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("few-tasks") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+        assert 0 < tasks < 2000  # 4256 when partitions stayed as they were and each component took rounds
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
