@@ -34,27 +34,33 @@ def _info(content: bytes) -> dict:
     }
 
 
+#: Rows, and bytes of their values, that are handed on together. A batch ends with the row that reaches either.
+BATCH_ROWS, BATCH_BYTES = 4096, 1 << 20
+
+
 def _mapped(df: DataFrame, row, schema: str) -> DataFrame:
     """Rows of df to any number of rows, streamed in small Arrow batches; ``row`` gets a row and yields tuples."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     ship(df.sparkSession)
     arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            names, columns, out = batch.schema.names, [batch.column(k).to_pylist() for k in range(batch.num_columns)], []
-            for values in zip(*columns, strict=True):
-                for made in row(SimpleNamespace(**dict(zip(names, values, strict=True)))):
-                    out.append(made)
-                    if len(out) == 4096:
-                        yield _batch(pa, out, arrow)
-                        out = []
-            yield _batch(pa, out, arrow)
-
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: _streamed(batches, row, arrow), schema)
+
+
+def _streamed(batches, row, schema):
+    """Beside the batch that came in, a worker holds one row's values and at most a batch of results, however many rows a task has."""
+    import pyarrow as pa
+
+    for batch in batches:
+        names, out, size = batch.schema.names, [], 0
+        for k in range(batch.num_rows):
+            for made in row(SimpleNamespace(**{n: c[k].as_py() for n, c in zip(names, batch.columns, strict=True)})):
+                out.append(made)
+                size += sum(len(v) * (8 if isinstance(v, list) else 1) for v in made if isinstance(v, (bytes, str, list)))
+                if len(out) == BATCH_ROWS or size >= BATCH_BYTES:
+                    yield _batch(pa, out, schema)
+                    out, size = [], 0
+        yield _batch(pa, out, schema)
 
 
 def _batch(pa, rows: list[tuple], schema):

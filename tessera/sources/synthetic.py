@@ -45,13 +45,20 @@ def mosaic(key: int) -> bytes:
     return encode(planes, sub, 97, key % 4, False, exif_segment("little" if key % 2 else "big", 1 + key % 8, None) if key % 3 == 1 else b"")
 
 
+#: Images that are made before they are handed on.
+CHUNK = 64
+
+
+def made(frames, make):
+    """Frames of image_id to frames of (image_id, content), CHUNK images at a time, however many a frame has."""
+    for frame in frames:
+        for at in range(0, len(frame), CHUNK):
+            ids = frame["image_id"].iloc[at : at + CHUNK]
+            yield pd.DataFrame({"image_id": ids, "content": [make(k) for k in ids]})
+
+
 def synthetic_images(spark: SparkSession, sf_dir: str, name: str = "supplier", key: str = "s_suppkey", make=encoded) -> DataFrame:
     """``image_id, content``, one image per row of the table."""
     ship(spark)
-
-    def run(frames):
-        for frame in frames:
-            yield pd.DataFrame({"image_id": frame["image_id"], "content": [make(k) for k in frame["image_id"]]})
-
     keys = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.col(key).alias("image_id"))
-    return keys.repartition(spark.sparkContext.defaultParallelism, "image_id").mapInPandas(run, "image_id long, content binary")
+    return keys.repartition(spark.sparkContext.defaultParallelism, "image_id").mapInPandas(lambda frames: made(frames, make), "image_id long, content binary")

@@ -86,3 +86,44 @@ def test_files_streams_and_bitmaps(spark, some, tmp_path):
     back = {r.file_id: r for r in reassemble(spark.createDataFrame(chunks, "file_id long, byte_index long, chunk binary"), 100_000).collect()}
     assert bytes(back[1].content) == data and back[2].status == "DECODE_ERROR"
     assert reassemble(spark.createDataFrame(chunks, "file_id long, byte_index long, chunk binary"), 10).filter(F.col("content").isNotNull()).isEmpty()
+
+
+class Caught:
+    """Stands for a DataFrame and for a reader, to get the function that workers would run."""
+
+    def __init__(self, spark):
+        self.sparkSession, self.sparkContext, self.read = spark, spark.sparkContext, self
+
+    def mapInPandas(self, run, schema):  # noqa: N802
+        return run
+
+    mapInArrow = mapInPandas  # noqa: N815
+
+    def parquet(self, *a):
+        return self
+
+    select = repartition = parquet
+
+
+def test_images_are_made_piece_by_piece(spark):
+    """A worker that is given 10,000 keys at once hands on the first images before it makes the last."""
+    import pandas as pd
+
+    from tessera.sources.synthetic import synthetic_images
+
+    asked = []
+    frames = synthetic_images(Caught(spark), "", make=lambda k: asked.append(k) or b"x")([pd.DataFrame({"image_id": range(10_000)})])
+    first = next(frames)
+    assert len(first) == len(asked) <= 256
+    assert [*first["image_id"], *(k for f in frames for k in f["image_id"])] == [*range(10_000)] == asked
+
+
+def test_results_are_handed_on_by_bytes_as_well_as_by_rows(spark):
+    import pyarrow as pa
+
+    asked = []
+    run = I._mapped(Caught(spark), lambda item: asked.append(item.image_id) or [(item.image_id, b"x" * 300_000)], "image_id long, data binary")
+    batches = run([pa.RecordBatch.from_pydict({"image_id": [*range(100)]})])
+    first = next(batches)
+    assert first.num_rows == len(asked) <= 8
+    assert [*first.column(0).to_pylist(), *(k for b in batches for k in b.column(0).to_pylist())] == [*range(100)] == asked
